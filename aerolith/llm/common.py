@@ -1,36 +1,13 @@
-"""Shared helpers: the shared folder, written tables, gapless ranks, components."""
+"""Shared helpers: gapless ranks and connected components over written tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolith.runtime import scratch, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset (tests) a
-    local folder becomes the checkpoint folder."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="aerolith-")
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name inside the shared folder."""
-    return f"{shared_dir(spark)}/aerolith-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and a lost
-    executor costs a re-read, not a recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["components", "gapless", "numbered", "scratch", "shared_dir", "written"]
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
