@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolith import schemas
 from aerolith.config import DEFAULT
 
 PAIR = ["img_lhs", "img_rhs"]
@@ -79,3 +84,25 @@ def encoded(matches: DataFrame, features: DataFrame) -> DataFrame:
     side = lambda image, x, y, out: ids.select(F.col("image_id").alias(image), F.col("px").alias(x), F.col("py").alias(y), F.col("pnt_idx").alias(out))
     lines = located(matches, features)
     return lines.join(side("img_lhs", "x0", "y0", "pnt_lhs"), ["img_lhs", "x0", "y0"]).join(side("img_rhs", "x1", "y1", "pnt_rhs"), ["img_rhs", "x1", "y1"]).select(*PAIR, "pnt_lhs", "pnt_rhs", "score")
+
+
+def score_with(pairs: DataFrame, features: DataFrame, matcher: Callable) -> DataFrame:
+    """Raw matches of a learned matcher: ``matcher(kpts0, desc0, kpts1, desc1)`` gives index pairs and scores. The
+    features of an image, as ``strongest`` bounds them, travel as one array; images without any drop out."""
+    packed = features.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("feat_idx", "nx", "ny", "descriptor"))).alias("f"))
+    side = lambda image, out: packed.select(F.col("image_id").alias(image), F.col("f").alias(out))
+    both = pairs.select(*PAIR).join(side("img_lhs", "f0"), "img_lhs").join(side("img_rhs", "f1"), "img_rhs")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for r in f.itertuples():
+                args, ids = [], []
+                for side_features in (r.f0, r.f1):
+                    args += [np.array([(p["nx"], p["ny"]) for p in side_features]), np.array([list(p["descriptor"]) for p in side_features])]
+                    ids.append([p["feat_idx"] for p in side_features])
+                found, scores = matcher(*args)
+                rows += [(r.img_lhs, r.img_rhs, ids[0][int(a)], ids[1][int(b)], float(s)) for (a, b), s in zip(found, scores, strict=True)]
+            yield pd.DataFrame(rows, columns=[*PAIR, "lhs", "rhs", "score"])
+
+    return both.select(*PAIR, "f0", "f1").mapInPandas(run, schemas.MATCH)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -12,3 +17,37 @@ def write_features(features: DataFrame, path: str, buckets: int = 64) -> None:
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
+
+
+def png(img: np.ndarray) -> bytes:
+    """A grey or blue-green-red image as PNG."""
+    height, width = img.shape[:2]
+    rows = img.reshape(height, width, -1)[..., ::-1]
+    lines = np.zeros((height, 1 + rows.shape[2] * width), np.uint8)
+    lines[:, 1:] = rows.reshape(height, -1)
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, 2 if rows.shape[2] == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def write_image(img: np.ndarray, uri: str) -> None:
+    """Write a mosaic or a single rectified image; an empty one is an error."""
+    if not img.size:
+        raise ValueError("the image is empty")
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_output_stream(path) as out:
+        out.write(png(img))
+
+
+def write_rectified(images: DataFrame, folder: str) -> None:
+    """Every rectified image and its mask as ``{image_id}_r.png`` and ``{image_id}_rm.png``, from the tasks."""
+
+    def put(rows) -> None:
+        for r in rows:
+            write_image(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels), f"{folder}/{r.image_id}_r.png")
+            write_image(np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width), f"{folder}/{r.image_id}_rm.png")
+
+    images.foreachPartition(put)
