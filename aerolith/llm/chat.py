@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.llm.common import written
+
 ROLES = ("system", "user", "assistant")
 #: Speaker labels, as transcripts write them.
 LABELS = {"system": 0, "instructions": 0, "user": 1, "human": 1, "customer": 1, "prompter": 1, "q": 1, "assistant": 2, "bot": 2, "ai": 2, "agent": 2, "model": 2, "a": 2}
@@ -187,7 +189,8 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2048) -> Iter
 def parse_transcripts(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``conv_id, turn, part, role, opens, n_lines, rendered``: the parts of each row, in which a recovered turn
     begins (``opens``) or goes on. ``rendered`` in order of turn and part is the whole transcript."""
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).distinct()
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    rows = written(rows.distinct(), "turns")
     model = train(rows)
     place = F.coalesce("turn", F.lit(FAR))
     rows = rows.withColumn("chunk", F.floor(place / chunk).cast("long"))
