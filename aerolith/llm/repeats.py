@@ -26,11 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import written
+from aerolith.llm.common import scratch, written
 
 LENGTH = 200
 GRAM = 80
@@ -42,6 +44,8 @@ UNIT = 1 << (POSITION_BITS - 1)
 BLOCK_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: A row number holds the number of its partition above so many bits.
+PART_BITS = 33
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -124,17 +128,17 @@ def _units(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nda
         yield np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), where
 
 
-SPANS = "doc_id long, text_hash long, start int, width int, gram long, digest long"
+SPANS = "row long, start int, width int, gram long, digest long"
 
 
 def _spans(length: int, gram: int):
-    """Rows of ``SPANS`` from rows (doc_id, text_hash, text as bytes)."""
+    """Rows of ``SPANS`` from rows (row, text as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in range(0, batch.num_rows, 256):
                 part = batch.slice(cut, 256)
-                ids, hashes, texts = part.column(0), part.column(1), part.column(2).to_pylist()
+                ids, texts = part.column(0), part.column(1).to_pylist()
                 for data, ends, where in _units(texts, length):
                     grams, first, last = owners(data, ends, length, gram)
                     buffer = data.tobytes()
@@ -143,11 +147,8 @@ def _spans(length: int, gram: int):
                     begins = np.concatenate([[0], ends[:-1]])
                     text = np.array([k for k, _ in where])[piece]
                     start = first - begins[piece] + np.array([lo for _, lo in where])[piece]
-                    take = pa.array(text)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(take), hashes.take(take), pa.array(start, pa.int32()), pa.array(last - first, pa.int32()), pa.array(grams.view(np.int64)), pa.array(digests.view(np.int64))],
-                        names=["doc_id", "text_hash", "start", "width", "gram", "digest"],
-                    )
+                    columns = [ids.take(pa.array(text)), pa.array(start, pa.int32()), pa.array(last - first, pa.int32()), pa.array(grams.view(np.int64)), pa.array(digests.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "start", "width", "gram", "digest"])
 
     return run
 
@@ -225,9 +226,52 @@ def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.concatenate([cut, [len(starts) - 1]])].tolist(), strict=True)
 
 
+def _beside(path: str, rows: pa.Array) -> dict[int, list[tuple]]:
+    """The rows of the side table at ``path`` that belong to the documents ``rows``. The table lies in a folder for
+    each partition of the stored documents, so texts and what is known of them meet without a shuffle of texts."""
+    fs, root = pafs.FileSystem.from_uri(path)
+    found: dict[int, list[tuple]] = {}
+    numbers = rows.to_numpy()
+    for part in np.unique(numbers >> PART_BITS).tolist():
+        folder = f"{root}/part={part}"
+        if fs.get_file_info(folder).type == pafs.FileType.NotFound:
+            continue
+        mine = numbers[numbers >> PART_BITS == part]
+        table = pads.dataset(folder, filesystem=fs, format="parquet").to_table(filter=(pads.field("row") >= int(mine.min())) & (pads.field("row") <= int(mine.max())))
+        at = table.schema.get_field_index("row")
+        for record in zip(*(c.to_pylist() for c in table.columns), strict=True):
+            found.setdefault(record[at], []).append(record[:at] + record[at + 1 :])
+    return found
+
+
+def _write_beside(table: DataFrame, name: str) -> str:
+    """Write a side table (with ``row``) by partition of the stored documents; its path."""
+    path = scratch(table.sparkSession, name)
+    parts = table.withColumn("part", F.shiftright("row", PART_BITS))
+    parts.repartition("part").sortWithinPartitions("part", "row").write.option("compression", "zstd").partitionBy("part").parquet(path)
+    return path
+
+
+def _slices(path: str, length: int):
+    """The wanted spans' bytes, from rows (row, text as bytes) and the side table (start, width, gram, cells)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                wanted, out = _beside(path, part.column(0)), []
+                for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    out += [(gram, cells, row, start, text[start : start + width + length]) for start, width, gram, cells in wanted.get(row, ())]
+                columns = zip(*out, strict=True) if out else [[]] * 5
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "cells", "row", "start", "span"])
+
+    return run
+
+
 def _match_blocks(length: int, block_bytes: int):
-    """Marks (doc_id, text_hash, first, last window start) from rows (cell, doc_id, text_hash, start, span) that come
-    sorted by cell; cells fill blocks one after another."""
+    """Marks (row, first, last window start) from rows (cell, row, start, span) that come sorted by cell; cells fill
+    blocks one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -236,10 +280,10 @@ def _match_blocks(length: int, block_bytes: int):
         def match() -> pa.RecordBatch:
             rows = []
             if len(held) > 1:
-                for (_, doc_id, text_hash, start, _), found in zip(held, repeated_windows([r[4] for r in held], length), strict=True):
-                    rows += [(doc_id, text_hash, start + a, start + b) for a, b in _runs(found)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "text_hash", "first", "last"])
+                for (_, row, start, _), found in zip(held, repeated_windows([r[3] for r in held], length), strict=True):
+                    rows += [(row, start + a, start + b) for a, b in _runs(found)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["row", "first", "last"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -247,22 +291,22 @@ def _match_blocks(length: int, block_bytes: int):
                     yield match()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4]) + 1
+                size += len(row[3]) + 1
         yield match()
 
     return run
 
 
 def _windows(length: int):
-    """A row (doc_id, text_hash, at, digest) for each window of the spans in rows (doc_id, text_hash, start, span)."""
+    """A row (row, at, digest) for each window of the spans in rows (row, start, span)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in range(0, batch.num_rows, 512):
-                ids, hashes, starts, spans = (c.to_pylist() for c in batch.slice(cut, 512).columns)
-                rows = [(i, h, s + o, xxhash.xxh3_128_digest(t[o : o + length])) for i, h, s, t in zip(ids, hashes, starts, spans, strict=True) for o in range(len(t) - length + 1)]
-                columns = zip(*rows, strict=True) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "text_hash", "at", "digest"])
+                ids, starts, spans = (c.to_pylist() for c in batch.slice(cut, 512).columns)
+                rows = [(i, s + o, xxhash.xxh3_128_digest(t[o : o + length])) for i, s, t in zip(ids, starts, spans, strict=True) for o in range(len(t) - length + 1)]
+                columns = zip(*rows, strict=True) if rows else [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["row", "at", "digest"])
 
     return run
 
@@ -270,17 +314,18 @@ def _windows(length: int):
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _cut(length: int):
-    """Result rows from rows (doc_id, text as bytes, marks as first << 32 | last)."""
+def _cut(path: str, length: int):
+    """Result rows from rows (doc_id, row, text as bytes) and the side table of marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows = []
-                for doc_id, text, marks in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+            for lo in range(0, batch.num_rows, 512):
+                part, rows = batch.slice(lo, 512), []
+                marks = _beside(path, part.column(1))
+                for doc_id, row, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     kept, at, removed, spans, end = [], 0, 0, 0, -1
-                    for m in sorted(marks or ()):
-                        a, b = m >> 32, (m & 0xFFFFFFFF) + length
+                    for a, last in sorted(marks.get(row, ())):
+                        b = last + length
                         if a > end:
                             kept.append(text[at:a])
                             spans += 1
@@ -296,37 +341,30 @@ def _cut(length: int):
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
-    key = ["doc_id", "text_hash"]
-    same = lambda other: F.col("r.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("r.text_hash") == F.col(f"{other}.text_hash"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = written(docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.monotonically_increasing_id().alias("row")), "documents")
 
-    spans = written(rows.where(F.octet_length("text") >= length).mapInArrow(_spans(length, gram), SPANS), "spans")
+    spans = written(rows.where(F.octet_length("text") >= length).select("row", "text").mapInArrow(_spans(length, gram), SPANS), "spans")
     often = spans.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    spans = spans.join(often, "gram")
-    distinct = spans.groupBy("gram", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "start", "width")).alias("one"))
-    distinct = written(distinct, "distinct")
+    # Written right after the join, whose hot grams can then be split.
+    spans = written(spans.join(often, "gram"), "repeated")
+    place = F.struct("row", "start", "width")
+    distinct = written(spans.groupBy("gram", "digest").agg(F.count("*").alias("n"), F.min(place).alias("one")), "distinct")
     twice = spans.join(distinct.where("n > 1").select("gram", "digest"), ["gram", "digest"], "left_semi")
-    marks = twice.select(*key, F.col("start").alias("first"), (F.col("start") + F.col("width")).alias("last"))
+    marks = twice.select("row", F.col("start").alias("first"), (F.col("start") + F.col("width")).alias("last"))
 
     # One copy of each span of the grams that have several.
     several = distinct.groupBy("gram").agg(F.count("*").alias("d"), F.sum(F.col("one.width") + length + 1).alias("bytes")).where("d > 1")
-    wanted = distinct.join(several, "gram").select("gram", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("cells"), "one.*")
-    slices = rows.alias("r").join(wanted.alias("w"), same("w"))
-    slices = slices.select("w.gram", "w.cells", "w.doc_id", "w.text_hash", "w.start", F.substring(F.col("r.text"), F.col("w.start") + 1, F.col("w.width") + length).alias("span")).dropDuplicates(["doc_id", "text_hash", "start"])
-    slices = written(slices, "slices")
+    wanted = distinct.join(several, "gram").select("one.row", "one.start", "one.width", "gram", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("cells"))
+    slices = written(rows.select("row", "text").mapInArrow(_slices(_write_beside(wanted, "wanted"), length), "gram long, cells int, row long, start int, span binary"), "slices")
     # Spans of a gram that fills several blocks are dealt over as many cells.
-    cell = F.xxhash64("gram", F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.col("cells")))
-    dealt = slices.select(cell.alias("cell"), *key, "start", "span").repartition("cell").sortWithinPartitions("cell")
-    marks = marks.union(dealt.mapInArrow(_match_blocks(length, block_bytes), "doc_id long, text_hash long, first int, last int"))
+    cell = F.xxhash64("gram", F.pmod(F.xxhash64("row", "start"), F.col("cells")))
+    dealt = slices.select(cell.alias("cell"), "row", "start", "span").repartition("cell").sortWithinPartitions("cell")
+    marks = marks.union(dealt.mapInArrow(_match_blocks(length, block_bytes), "row long, first int, last int"))
 
     # The windows of such grams meet again by digest.
-    windows = slices.where("cells > 1").select(*key, "start", "span").mapInArrow(_windows(length), "doc_id long, text_hash long, at int, digest binary")
+    windows = slices.where("cells > 1").select("row", "start", "span").mapInArrow(_windows(length), "row long, at int, digest binary")
     windows = written(windows, "windows")
     again = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    marks = marks.union(windows.join(again, "digest", "left_semi").select(*key, F.col("at").alias("first"), F.col("at").alias("last")))
-
-    packed = F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")
-    marks = marks.groupBy(*key).agg(F.collect_set(packed).alias("marks"))
-    joined = rows.alias("r").join(marks.alias("m"), same("m"), "left")
-    return joined.select("r.doc_id", "r.text", "m.marks").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marks = marks.union(windows.join(again, "digest", "left_semi").select("row", F.col("at").alias("first"), F.col("at").alias("last")))
+    return rows.select("doc_id", "row", "text").mapInArrow(_cut(_write_beside(marks, "marks"), length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
