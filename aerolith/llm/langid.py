@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 FOLDS = 5
 #: The bound of the training sample.
 PER_LANGUAGE, SLICE = 300, 384
+#: Steps in which the share of a language's documents that enters the sample is counted.
+SHARES = 1 << 40
 SEGMENT, HIDDEN = 96, 8
 STEPS, BATCH, RATE = 260, 128, 0.02
 #: Segments that run side by side.
@@ -161,10 +163,17 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def train(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Fit on the bounded sample of ``docs`` (``doc_id``, ``text``, ``lang``)."""
+    """Fit on the bounded sample of ``docs`` (``doc_id``, ``text``, ``lang``).
+
+    The languages are counted first, so that each task passes on only about the share of a language's documents
+    that the sample needs, the lowest by hash; the exact lowest PER_LANGUAGE are then ranked.
+    """
     order = F.xxhash64("doc_id", "text")
     at = F.pmod(order, F.greatest(F.length("text") - SLICE, F.lit(0)) + 1).cast("int") + 1
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    learnable = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    share = learnable.groupBy("lang").agg((F.lit(4.0 * PER_LANGUAGE * SHARES) / F.count("*")).alias("share"))
+    # A row for each language, for which the network has an output: no larger than the model.
+    usable = learnable.where(F.col("text").isNotNull()).join(F.broadcast(share), "lang").where((F.pmod(order, F.lit(SHARES)) < F.col("share")) & F.col("text").rlike("\\p{L}"))
     rows = usable.select("lang", order.alias("order"), F.substring(F.col("text"), at, F.lit(SLICE)).alias("slice"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "slice"))).where(F.col("rank") <= PER_LANGUAGE)
     sample = [(r.slice, r.lang) for r in ranked.select("lang", "order", "slice").collect()]
