@@ -5,12 +5,13 @@ owned by its minimizer: the 80-byte gram in it with the least hash, the leftmost
 equal minimizers, so only the windows of equal grams need comparing. The windows that one gram occurrence owns
 are consecutive; the bytes they cover are its span.
 
-1. Spans are counted by (gram, span digest). A span that occurs twice is removed whole, without its bytes.
-2. Where one gram has several different spans, one copy of each goes to a block with the other spans of the
-   gram. The block builds a run-compressed Burrows-Wheeler transform of its spans and keeps suffix samples at
-   the run ends only, with the length of the match across each run border. Matching statistics stream through
-   the text from those samples, falling by one for each byte until the next sample lifts them; a window with a
-   statistic of 200 or more occurs elsewhere.
+1. Occurrences of spans whose gram occurs once are left: their windows occur once. The others are grouped by
+   (gram, span digest), so that copies of a span are handled once and get the result of their group.
+2. One copy of each span, two where it occurs more than once, goes to a block with the other spans of its gram.
+   The block builds a run-compressed Burrows-Wheeler transform of its spans and keeps suffix samples at the run
+   ends only, with the length of the match across each run border; copies add to runs, hardly to their number.
+   Matching statistics stream through the text from those samples, falling by one for each byte until the next
+   sample lifts them; a window with a statistic of 200 or more occurs elsewhere.
 3. Spans of one gram that are too many for a block are dealt over several blocks; the windows of such grams are
    also counted by digest across blocks, so that no match between blocks is lost.
 
@@ -252,8 +253,11 @@ def _write_beside(table: DataFrame, name: str) -> str:
     return path
 
 
+SLICES = "gram long, digest long, copies int, cells int, start int, span binary"
+
+
 def _slices(path: str, length: int):
-    """The wanted spans' bytes, from rows (row, text as bytes) and the side table (start, width, gram, cells)."""
+    """The wanted spans' bytes, from rows (row, text as bytes) and the side table (start, width, gram, digest, copies, cells)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,29 +265,33 @@ def _slices(path: str, length: int):
                 part = batch.slice(lo, 512)
                 wanted, out = _beside(path, part.column(0)), []
                 for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    out += [(gram, cells, row, start, text[start : start + width + length]) for start, width, gram, cells in wanted.get(row, ())]
-                columns = zip(*out, strict=True) if out else [[]] * 5
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "cells", "row", "start", "span"])
+                    out += [(gram, digest, copies, cells, start, text[start : start + width + length]) for start, width, gram, digest, copies, cells in wanted.get(row, ())]
+                columns = zip(*out, strict=True) if out else [[]] * 6
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "digest", "copies", "cells", "start", "span"])
 
     return run
 
 
+FOUND = "gram long, digest long, first int, last int"
+
+
 def _match_blocks(length: int, block_bytes: int):
-    """Marks (row, first, last window start) from rows (cell, row, start, span) that come sorted by cell; cells fill
-    blocks one after another."""
+    """Rows of ``FOUND`` (first and last repeated window of a span, counted from its start) from rows (cell, gram,
+    digest, copies, span) that come sorted by cell; cells fill blocks one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def match() -> pa.RecordBatch:
+            strings = [r[4] for r in held] + [r[4] for r in held if r[3] > 1]
             rows = []
-            if len(held) > 1:
-                for (_, row, start, _), found in zip(held, repeated_windows([r[3] for r in held], length), strict=True):
-                    rows += [(row, start + a, start + b) for a, b in _runs(found)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["row", "first", "last"])
+            if len(strings) > 1:
+                for (_, gram, digest, *_), found in zip(held, repeated_windows(strings, length), strict=False):
+                    rows += [(gram, digest, a, b) for a, b in _runs(found)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["gram", "digest", "first", "last"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -291,22 +299,23 @@ def _match_blocks(length: int, block_bytes: int):
                     yield match()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3]) + 1
+                size += row[3] * (len(row[4]) + 1)
         yield match()
 
     return run
 
 
 def _windows(length: int):
-    """A row (row, at, digest) for each window of the spans in rows (row, start, span)."""
+    """A row (gram, digest, at, copies, window digest) for each window of the spans in rows (gram, digest, copies, span)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in range(0, batch.num_rows, 512):
-                ids, starts, spans = (c.to_pylist() for c in batch.slice(cut, 512).columns)
-                rows = [(i, s + o, xxhash.xxh3_128_digest(t[o : o + length])) for i, s, t in zip(ids, starts, spans, strict=True) for o in range(len(t) - length + 1)]
-                columns = zip(*rows, strict=True) if rows else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["row", "at", "digest"])
+                columns = (c.to_pylist() for c in batch.slice(cut, 512).columns)
+                rows = [(g, d, o, n, xxhash.xxh3_128_digest(t[o : o + length])) for g, d, n, t in zip(*columns, strict=True) for o in range(len(t) - length + 1)]
+                columns = zip(*rows, strict=True) if rows else [[]] * 5
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "digest", "at", "copies", "window"])
 
     return run
 
@@ -345,26 +354,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     rows = written(docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.monotonically_increasing_id().alias("row")), "documents")
 
     spans = written(rows.where(F.octet_length("text") >= length).select("row", "text").mapInArrow(_spans(length, gram), SPANS), "spans")
-    often = spans.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    # Written right after the join, whose hot grams can then be split.
+    # Written before and after the join, so that nothing binds its sides and hot grams can be split.
+    often = written(spans.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "often")
     spans = written(spans.join(often, "gram"), "repeated")
-    place = F.struct("row", "start", "width")
-    distinct = written(spans.groupBy("gram", "digest").agg(F.count("*").alias("n"), F.min(place).alias("one")), "distinct")
-    twice = spans.join(distinct.where("n > 1").select("gram", "digest"), ["gram", "digest"], "left_semi")
-    marks = twice.select("row", F.col("start").alias("first"), (F.col("start") + F.col("width")).alias("last"))
-
-    # One copy of each span of the grams that have several.
-    several = distinct.groupBy("gram").agg(F.count("*").alias("d"), F.sum(F.col("one.width") + length + 1).alias("bytes")).where("d > 1")
-    wanted = distinct.join(several, "gram").select("one.row", "one.start", "one.width", "gram", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("cells"))
-    slices = written(rows.select("row", "text").mapInArrow(_slices(_write_beside(wanted, "wanted"), length), "gram long, cells int, row long, start int, span binary"), "slices")
+    kind, place = ["gram", "digest"], F.struct("row", "start", "width")
+    distinct = written(spans.groupBy(*kind).agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"), F.min(place).alias("one")), "distinct")
+
     # Spans of a gram that fills several blocks are dealt over as many cells.
-    cell = F.xxhash64("gram", F.pmod(F.xxhash64("row", "start"), F.col("cells")))
-    dealt = slices.select(cell.alias("cell"), "row", "start", "span").repartition("cell").sortWithinPartitions("cell")
-    marks = marks.union(dealt.mapInArrow(_match_blocks(length, block_bytes), "row long, first int, last int"))
+    volume = distinct.groupBy("gram").agg(F.sum((F.col("one.width") + length + 1) * F.col("copies")).alias("bytes"))
+    wanted = distinct.join(written(volume, "volume"), "gram").select("one.row", "one.start", "one.width", *kind, "copies", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("cells"))
+    slices = written(rows.select("row", "text").mapInArrow(_slices(_write_beside(wanted, "wanted"), length), SLICES), "slices")
+    cell = F.xxhash64("gram", F.pmod(F.col("digest"), F.col("cells")))
+    dealt = slices.select(cell.alias("cell"), *kind, "copies", "span").repartition("cell").sortWithinPartitions("cell")
+    found = dealt.mapInArrow(_match_blocks(length, block_bytes), FOUND)
 
     # The windows of such grams meet again by digest.
-    windows = slices.where("cells > 1").select("row", "start", "span").mapInArrow(_windows(length), "row long, at int, digest binary")
-    windows = written(windows, "windows")
-    again = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    marks = marks.union(windows.join(again, "digest", "left_semi").select("row", F.col("at").alias("first"), F.col("at").alias("last")))
+    windows = written(slices.where("cells > 1").select(*kind, "copies", "span").mapInArrow(_windows(length), "gram long, digest long, at int, copies int, window binary"), "windows")
+    again = written(windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window"), "again")
+    found = found.union(windows.join(again, "window", "left_semi").select(*kind, F.col("at").alias("first"), F.col("at").alias("last")))
+
+    # Every copy of a span has the result of its group.
+    marks = spans.join(written(found, "found"), kind).select("row", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
     return rows.select("doc_id", "row", "text").mapInArrow(_cut(_write_beside(marks, "marks"), length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
