@@ -203,7 +203,8 @@ def classes(prints: DataFrame, tile: int = TILE) -> DataFrame:
     part = lambda b: F.shiftright("fp", BLOCKS[b][0]).bitwiseAND(F.lit((1 << BLOCKS[b][1]) - 1))
     keys = [F.lit(t << 22).cast("long") + F.shiftleft(part(i), 11) + part(j) for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    # Written first, so that the join is of two plain shuffles and hot buckets can be split.
+    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
     rows = rows.join(sizes, "bucket")
     # Up to two tiles are compared as one group; beyond that, each pair of tiles is a group of its own.
     tiles = F.when(F.col("m") <= 2 * tile, F.lit(1)).otherwise(F.ceil(F.col("m") / tile)).cast("int")
