@@ -58,8 +58,9 @@ def components(edges: DataFrame, name: str = "components", graph_edges: int = GR
     seen = None
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Written first, so that the join is of two plain shuffles and a hub's rows can be split.
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        large = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         cur = written(small, name)
