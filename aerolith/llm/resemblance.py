@@ -1,0 +1,151 @@
+"""Near-duplicates by resemblance: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Candidates share a band: ``BANDS`` hashes of ``BAND_ROWS`` minima each over the set, so that a pair at similarity s
+misses every band with a probability of (1 - s ** BAND_ROWS) ** BANDS, 2.5e-7 at 0.8 and less above. Each candidate is
+then decided by the exact Jaccard similarity of the two sets of 64-bit shingle hashes, so texts that only look alike
+to the bands stay. Pairs that earlier links have joined already need no decision: first each text meets the lowest mate
+of all its bands, then the lowest mate of each, and only then all mates that are still apart meet.
+
+Defined results: equal sequences of lower-cased words are one text; a text of fewer than five words is one shingle; all
+texts without words (null, empty, blank) are one component; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from aerolith.llm.common import components, written
+
+SHINGLE_WORDS = 5
+SEED = 42
+#: Least similarity, as a fraction.
+ALIKE = (4, 5)
+BANDS, BAND_ROWS = 50, 6
+_RNG = np.random.default_rng(11)
+_FLIP = _RNG.integers(0, 1 << 32, (BANDS * BAND_ROWS, 1), dtype=np.uint32)
+_TIMES = _RNG.integers(0, 1 << 32, (BANDS * BAND_ROWS, 1), dtype=np.uint32) | np.uint32(1)
+
+
+def shingles(parts: list[bytes], words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The sorted distinct XXH64 hashes of the shingles of a text's words."""
+    n = len(parts)
+    if not n:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    if n <= words:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: n - words + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)), np.uint64, n - words + 1))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """The bands' hashes (as signed longs) of a set of shingles; none of an empty one."""
+    if not len(hashes):
+        return []
+    short = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    low = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
+    for lo in range(0, len(short), 256):
+        x = short[None, lo : lo + 256] ^ _FLIP
+        x *= _TIMES
+        np.minimum(low, x.min(axis=1), out=low)
+    rows = low.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], np.uint64).view(np.int64).tolist()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * ALIKE[1] >= (len(a) + len(b) - both) * ALIKE[0]
+
+
+def _words(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
+
+
+def _with_bands(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__key`` (a 128-bit digest of the words), ``__n`` (size of the set) and ``__bands``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                parts = [_words(t) for t in part.column(at).cast(pa.binary()).to_pylist()]
+                sets = [shingles(p) for p in parts]
+                part = part.append_column("__key", pa.array([xxhash.xxh3_128_digest(b" ".join(p)) for p in parts], pa.binary()))
+                part = part.append_column("__n", pa.array([len(s) for s in sets], pa.int64()))
+                yield part.append_column("__bands", pa.array([bands(s) for s in sets], pa.list_(pa.int64())))
+
+    more = [T.StructField("__key", T.BinaryType()), T.StructField("__n", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))]
+    return docs.mapInArrow(run, T.StructType([*docs.schema, *more]))
+
+
+def _sets(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in texts:
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            sets = [shingles(_words(t)).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+
+
+def _alike(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pairs:
+        x, y = batch.column(2), batch.column(3)
+        keep = [alike(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)) for i in range(batch.num_rows)]
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets are alike, written. Both sides are written tables, so that a hub's rows can be split."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"{c}_set"))
+    found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
+    return written(found.mapInArrow(_alike, "a long, b long"), "links")
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """``(node, root)`` of the distinct texts that have a link. ``rows`` has ``id, text, __n, __bands``."""
+    mates = written(rows.select("id", F.col("__n").alias("n"), F.explode("__bands").alias("band")), "bands")
+    sizes = written(mates.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("low")).where("m > 1").select("band", F.col("low.id").alias("low"), F.col("low.n").alias("low_n")), "bands")
+    mates = written(mates.join(sizes, "band"), "mates")
+    several = written(mates.select("id").distinct(), "several")
+    sets = written(rows.join(several, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, set binary"), "sets")
+    # The sizes alone rule out a similarity of 0.8 where the smaller set is under that share of the larger.
+    near = lambda n, o: F.least(n, o) * ALIKE[1] >= F.greatest(n, o) * ALIKE[0]
+    star = written(mates.where(F.col("low") < F.col("id")).where(near(F.col("n"), F.col("low_n"))).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    first = written(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    links = _links(first, sets)
+
+    root = components(links, "resemblance")
+    named = lambda df, c: df.join(root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    apart = named(named(star.join(first, ["a", "b"], "left_anti"), "a"), "b").where("a_root <> b_root").select("a", "b")
+    tried = written(apart, "pairs")
+    links = links.union(_links(tried, sets))
+
+    root = components(links, "resemblance")
+    open_mates = written(named(mates.select("band", "id", "n"), "id"), "mates")
+    open_bands = written(open_mates.groupBy("band").agg(F.min("id_root").alias("x"), F.max("id_root").alias("y")).where("x <> y").select("band"), "bands")
+    rest = written(open_mates.join(open_bands, "band"), "mates")
+    a, b = (rest.select("band", F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("id_root").alias(f"{c}_root")) for c in "ab")
+    pairs = a.join(b, "band").where("a < b AND a_root <> b_root").where(near(F.col("a_n"), F.col("b_n"))).select("a", "b").distinct()
+    pairs = written(pairs.join(first.union(tried), ["a", "b"], "left_anti"), "pairs")
+    return components(links.union(_links(pairs, sets)), "resemblance")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the one with the smallest ``doc_id`` stays
+    (null last; of rows with equal ``doc_id`` the first written)."""
+    rows = written(_with_bands(docs).withColumn("__row", F.monotonically_increasing_id()), "bands")
+    mine = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    named = written(rows.groupBy("__key").agg(F.min("__row").alias("id"), mine.alias("best")).select("id", "best"), "texts")
+    one = rows.select(F.col("__row").alias("id"), F.col("text").cast("string").alias("text"), "__n", "__bands").join(named.select("id"), "id", "left_semi")
+    root = classes(one)
+    best = named.join(root.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("best").alias("best"))
+    return rows.join(best.select(F.col("best.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)

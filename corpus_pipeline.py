@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolith.llm import decontamination, langid, packing, pii, simhash
+from aerolith.llm import decontamination, langid, packing, pii, resemblance
 from aerolith.llm.common import written
 
 
@@ -14,8 +14,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays."""
-    return simhash.keep_one(docs)
+    """One document of each component of five-word similarity 0.8 or more stays."""
+    return resemblance.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,65 @@
+import random
+
+import corpus_pipeline
+from tests.conftest import SF
+
+
+def brute_sets(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_kept(rows):
+    """The smallest doc_id of each component of pairs at Jaccard 0.8 or more (sets without shingles are equal)."""
+    sets, parent = [brute_sets(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                parent[find(i)] = find(j)
+    best = {}
+    for i, (doc, _) in enumerate(rows):
+        best[find(i)] = min(best.get(find(i), (True, 0)), (doc is None, doc or 0))
+    return sorted("None" if none else str(doc) for none, doc in best.values())
+
+
+def edited(seed=6, families=12, copies=8):
+    """Copies at similarities around 0.8, and chains of copies of copies."""
+    rng = random.Random(seed)
+    rows = []
+    for f in range(families):
+        base = [f"f{f}w{rng.randrange(900)}" for _ in range(rng.choice([12, 60, 200, 400]))]
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(rng.randrange(1 + len(own) // 30)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(9999)}"
+            rows.append((1000 + len(rows), " ".join(own)))
+            if f % 3 == 0:
+                base = own
+    rng.shuffle(rows)
+    return rows
+
+
+def kept(spark, docs):
+    return sorted(str(r.doc_id) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+
+
+def test_stage_equals_brute_force(spark, make_docs, odd_rows):
+    rows = [*odd_rows, *edited()]
+    want = brute_kept(rows)
+    assert len(set(want)) < len({d for d, _ in rows})
+    assert kept(spark, make_docs(rows)) == want
+
+
+def test_stage_equals_brute_force_on_documents(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    assert kept(spark, docs) == brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_empty(spark, make_docs):
+    assert kept(spark, make_docs([])) == []
