@@ -31,10 +31,12 @@ SEGMENT, HIDDEN = 96, 8
 STEPS, BATCH, RATE = 260, 128, 0.02
 #: Segments that run side by side.
 LANES = 2048
-#: ``keep_identified`` rejects ``und``, and documents whose best language stays under this probability. Clean texts
-#: of a line or less come down to 0.3, so the bound stands where four languages are equally likely.
-LEAST_SCORE = 0.25
+#: ``keep_identified`` rejects ``und``, and documents that are likelier as letters drawn evenly than as text of a
+#: language, by byte pairs: by more than AGAINST (natural logarithm) in all, so a short text needs to be odder, and by
+#: more than EACH for a pair, as clean texts hold names and phrases that the sample lacks.
+AGAINST, EACH = 25.0, 0.5
 LETTER = re.compile(r"[^\W\d_]")
+WORD = re.compile(r"[^\W\d_]+")
 #: Bytes that count towards a document: ASCII letters and all bytes of other characters.
 LETTER_BYTES = np.array([c >= 128 or 65 <= c <= 90 or 97 <= c <= 122 for c in range(256)])
 
@@ -162,8 +164,8 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Fit on the bounded sample of ``docs`` (``doc_id``, ``text``, ``lang``).
+def drawn(docs: DataFrame) -> list[tuple[str, str]]:
+    """The bounded sample ``(text, label)`` of ``docs`` (``doc_id``, ``text``, ``lang``).
 
     The languages are counted first, so that each task passes on only about the share of a language's documents
     that the sample needs, the lowest by hash; the exact lowest PER_LANGUAGE are then ranked.
@@ -177,7 +179,40 @@ def train(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
     rows = usable.select("lang", order.alias("order"), F.substring(F.col("text"), at, F.lit(SLICE)).alias("slice"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "slice"))).where(F.col("rank") <= PER_LANGUAGE)
     sample = [(r.slice, r.lang) for r in ranked.select("lang", "order", "slice").collect()]
-    return fit(sorted(sample, key=lambda x: (x[1], x[0])))
+    return sorted(sample, key=lambda x: (x[1], x[0]))
+
+
+def train(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
+    """Fit on the bounded sample of ``docs``."""
+    return fit(drawn(docs))
+
+
+def _pairs(text: str) -> np.ndarray:
+    """Codes (first * 256 + second) of the byte pairs of a text's lower-cased words, with single spaces around each."""
+    codes = np.frombuffer(f" {' '.join(WORD.findall(text.lower()))} ".encode(), np.uint8).astype(np.int64)
+    return codes[:-1] * 256 + codes[1:]
+
+
+def evidence(sample: list[tuple[str, str]]) -> dict[str, np.ndarray]:
+    """For each label, by byte pair: the logarithm of the second byte's probability after the first in the label's
+    texts, less that of an even draw from the 26 letters and the space, or from the other 128 bytes."""
+    even = -np.log(np.where(np.arange(256) < 128, 27.0, 128.0))
+    out = {}
+    for name in {label for _, label in sample}:
+        n = sum(np.bincount(_pairs(text), minlength=1 << 16) for text, label in sample if label == name).reshape(256, 256)
+        single = (n.sum(axis=0) + 0.1) / (n.sum() + 25.6)
+        after = (n + 5 * single) / (n.sum(axis=1, keepdims=True) + 5)
+        out[name] = (np.log(after) - even).astype(np.float32).ravel()
+    return out
+
+
+def is_text(found: dict[str, np.ndarray], label: str, score: float, text: str) -> bool:
+    """Whether ``evidence`` speaks for the text in some language; the network's label has its probability before,
+    the others share the rest."""
+    pairs = _pairs(text)
+    before = {k: score if k == label else (1 - score) / (len(found) - 1) for k in found}
+    best = max(float(v[pairs].sum(dtype=np.float64)) + np.log(max(before[k], 1e-4)) for k, v in found.items())
+    return best > -AGAINST - EACH * len(pairs)
 
 
 def label_documents(model: tuple[list[str], dict[str, np.ndarray]], texts: list[bytes]) -> list[tuple[str, float]]:
@@ -233,15 +268,18 @@ def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]] | N
     return rows.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]] | None = None) -> DataFrame:
-    """The rows whose language is found, with all their columns: neither ``und`` nor under LEAST_SCORE."""
-    model = model or train(docs.select("doc_id", "text", "lang"))
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows whose language is found, with all their columns: neither ``und`` nor unlike all languages' texts."""
+    sample = drawn(docs.select("doc_id", "text", "lang"))
+    model, found = fit(sample), evidence(sample)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                yield part.filter(pa.array([lang != "und" and score >= LEAST_SCORE for lang, score in _labelled(model, part.column(at))], pa.bool_()))
+                texts = part.column(at).cast(pa.string()).to_pylist()
+                labels = _labelled(model, part.column(at))
+                yield part.filter(pa.array([lang != "und" and is_text(found, lang, score, text) for (lang, score), text in zip(labels, texts, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -83,3 +83,18 @@ def test_nothing_to_learn_from(make_docs, spark):
     assert langid.identify(make_docs([])).count() == 0
     unlabelled = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[2:] for r in langid.identify(unlabelled).collect()] == [("und", 0.0)]
+
+
+def test_gibberish_and_foreign_scripts_go(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    rng = np.random.default_rng(4)
+    letters, cyrillic = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    words = lambda signs, n: " ".join("".join(rng.choice(list(signs), rng.integers(3, 9))) for _ in range(n))
+    odd = [words(s, n) for s in (letters, cyrillic) for n in (8, 40, 400)] + ["".join(chr(c) for c in rng.integers(0x4E00, 0x9FA0, n)) for n in (20, 400)]
+    short = ["Hello there", "A short line.", "Guten Tag", "Buenos días", "Merci beaucoup", "Thank you very much"]
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    planted = spark.createDataFrame([(10**9 + i, t, None, "planted", len(t)) for i, t in enumerate(odd + short)], columns)
+    kept = {r.doc_id for r in langid.keep_identified(docs.union(planted)).collect()}
+    assert kept & {10**9 + i for i in range(len(odd) + len(short))} == {10**9 + len(odd) + i for i in range(len(short))}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert kept >= {i for i, t in texts.items() if langid.LETTER.search(t or "")}
