@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolith.config import DEFAULT
 from aerolith.functions import geo, mat, polygon, raster
 from aerolith.operators import adjust, matching, mosaic, neighbours, ranges, tracks, triangulate
 from aerolith.operators import features as feats
@@ -18,9 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-TOP_FEATURES = 16
 STRICT_MATCHES = 118
-EDGE_SCORE = 0.9
 FRAME = (1024.0, 768.0)
 
 
@@ -41,7 +40,7 @@ def r(x: Column | str, places: int = 6) -> Column:
 
 
 def rs(x: str, places: int = 6) -> str:
-    return f"round({x}, {places}) + 0.0"
+    return f"round_even(({x}) * 1e{places}, 0) / 1e{places} + 0.0"
 
 
 def named(values: list[mat.Entry], names: list[str], places: int = 6) -> list[Column]:
@@ -166,7 +165,7 @@ f AS (SELECT image_id, corner, (r00 * ux + r10 * uy + r20) / (r02 * ux + r12 * u
 
 
 def _footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _posed(spark, sf_dir).select("image_id", geo.footprint(F.col("width"), F.col("height"), mat.transpose(geo.rotation_columns())).alias("corners"))
+    return geo.with_footprint(_posed(spark, sf_dir)).select("image_id", "corners")
 
 
 @query(f"WITH {CORNERS} SELECT image_id, CAST(corner AS BIGINT) AS corner, {rs('fx', 4)} AS x, {rs('fy', 4)} AS y FROM f")
@@ -223,11 +222,11 @@ def pair_batches(spark, sf_dir):
 # ---------------------------------------------------------------- features
 
 STRONG = f"""fe AS ({view_sql("features")}),
-st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, feat_idx) AS rank FROM fe WHERE score >= CAST(0.05 AS DOUBLE) AND x BETWEEN 2 AND 1021 AND y BETWEEN 2 AND 765) z WHERE rank <= {TOP_FEATURES})"""
+st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, feat_idx) AS rank FROM fe WHERE score >= CAST(0.05 AS DOUBLE) AND x BETWEEN 2 AND 1021 AND y BETWEEN 2 AND 765) z WHERE rank <= {DEFAULT.features_per_image})"""
 
 
 def _strong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feats.strongest(feats.inside_mask(view(spark, sf_dir, "features"), int(FRAME[0]), int(FRAME[1])), top=TOP_FEATURES)
+    return feats.strongest(feats.inside_mask(view(spark, sf_dir, "features"), int(FRAME[0]), int(FRAME[1])))
 
 
 @query(f"WITH {STRONG} SELECT image_id, feat_idx, CAST(rank AS INTEGER) AS rank, {rs('score')} AS score FROM st")
@@ -245,14 +244,12 @@ def feature_denormalise(spark, sf_dir):
     return feats.denormalised(feats.normalised(view(spark, sf_dir, "features"), *FRAME), *FRAME).select("image_id", "feat_idx", r("x").alias("x"), r("y").alias("y"))
 
 
-@query(f"""WITH {STRONG}, ids AS (SELECT DISTINCT image_id FROM st)
+@query(f"""WITH {NEAREST}, {STRONG}
 SELECT a.image_id AS img_lhs, b.image_id AS img_rhs, a.feat_idx AS lhs, b.feat_idx AS rhs, {rs("list_cosine_similarity(a.descriptor, b.descriptor)", 4)} AS score
-FROM ids p JOIN ids q ON q.image_id = p.image_id + 1 JOIN st a ON a.image_id = p.image_id JOIN st b ON b.image_id = q.image_id""")
+FROM pr JOIN st a ON a.image_id = img_lhs JOIN st b ON b.image_id = img_rhs WHERE list_cosine_similarity(a.descriptor, b.descriptor) >= CAST(0.2 AS DOUBLE)""")
 def descriptor_similarity(spark, sf_dir):
-    strong = _strong(spark, sf_dir)
-    ids = strong.select("image_id").distinct()
-    pairs = ids.select(F.col("image_id").alias("img_lhs"), (F.col("image_id") + 1).alias("img_rhs")).join(ids.withColumnRenamed("image_id", "img_rhs"), "img_rhs", "left_semi")
-    return matching.score_pairs(pairs, strong).select("img_lhs", "img_rhs", "lhs", "rhs", r("score", 4).alias("score"))
+    pairs = neighbours.proposed_pairs(_nearest(spark, sf_dir))
+    return matching.score_pairs(pairs, _strong(spark, sf_dir)).select("img_lhs", "img_rhs", "lhs", "rhs", r("score", 4).alias("score"))
 
 
 @query(f"""SELECT i.image_id, CAST(width * height * 3 AS BIGINT) AS image_bytes, CAST(coalesce(b, 0) AS BIGINT) AS feature_bytes FROM ({view_sql("images")}) i
@@ -340,16 +337,18 @@ def encoded_matches(spark, sf_dir):
 # ---------------------------------------------------------------- tracks
 
 EDGES = f"""{GREEDY},
-ew AS (SELECT img_lhs * 1000 + lhs AS a, img_rhs * 1000 + rhs AS b, max(score) AS score FROM oo WHERE score >= CAST({EDGE_SCORE} AS DOUBLE) GROUP BY 1, 2)"""
+ew AS (SELECT img_lhs * 1000 + lhs AS a, img_rhs * 1000 + rhs AS b, max(score) AS score FROM oo GROUP BY 1, 2)"""
+#: The smallest label around spreads until nothing changes; a row for each node is kept.
 REACHED = f"""RECURSIVE {EDGES},
 sy AS (SELECT a, b FROM ew UNION SELECT b, a FROM ew),
-reach AS (SELECT a AS node, a AS root FROM sy UNION SELECT sy.b, reach.root FROM reach JOIN sy ON sy.a = reach.node WHERE reach.root < sy.b),
-tr AS (SELECT min(root) AS track_id, node FROM reach GROUP BY node)"""
+reach(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM sy
+  UNION SELECT sy.b, min(reach.root) FROM reach JOIN sy ON sy.a = reach.node JOIN recurring.reach known ON known.node = sy.b WHERE reach.root < known.root GROUP BY sy.b),
+tr AS (SELECT root AS track_id, node FROM reach)"""
 IMAGE_OF = "CAST(floor(node / 1000) AS BIGINT)"
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _one_to_one(spark, sf_dir).where(F.col("score") >= EDGE_SCORE)
+    found = _one_to_one(spark, sf_dir)
     return found.select((F.col("img_lhs") * 1000 + F.col("lhs")).alias("a"), (F.col("img_rhs") * 1000 + F.col("rhs")).alias("b"), "score")
 
 
@@ -357,9 +356,9 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.edge_weights(_links(spark, sf_dir))
 
 
-@query(f"WITH rm AS ({view_sql('raw_matches')}) SELECT img_lhs * 1000 + lhs AS a, img_rhs * 1000 + rhs AS b, max(score) AS score FROM rm WHERE score >= CAST({EDGE_SCORE} AS DOUBLE) GROUP BY 1, 2")
+@query(f"WITH rm AS ({view_sql('raw_matches')}) SELECT img_lhs * 1000 + lhs AS a, img_rhs * 1000 + rhs AS b, max(score) AS score FROM rm WHERE score >= CAST(0.2 AS DOUBLE) GROUP BY 1, 2")
 def edge_weights(spark, sf_dir):
-    raw = matching.above(view(spark, sf_dir, "raw_matches"), EDGE_SCORE)
+    raw = matching.above(view(spark, sf_dir, "raw_matches"))
     return tracks.edge_weights(raw.select((F.col("img_lhs") * 1000 + F.col("lhs")).alias("a"), (F.col("img_rhs") * 1000 + F.col("rhs")).alias("b"), "score"))
 
 

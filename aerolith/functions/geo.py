@@ -16,8 +16,10 @@ FRAME_WIDTH, FRAME_HEIGHT = 36.0, 24.0
 
 
 def rounded(x: mat.Entry, places: int = 6) -> Column:
-    """Rounded, without a negative zero."""
-    return F.round(mat.num(x), places) + F.lit(0.0)
+    """Rounded, ties to even, without a negative zero. Scaling, rounding to a whole number and scaling back are single
+    operations on doubles, so that every engine agrees on ties."""
+    scale = F.lit(10.0**places)
+    return F.rint(mat.num(x) * scale) / scale + F.lit(0.0)
 
 
 def upper_median(x: str) -> Column:
@@ -141,15 +143,19 @@ def image_corners(width: Column, height: Column) -> list[tuple[Column, Column]]:
     return [(zero, zero), (width - 1, zero), (width - 1, height - 1), (zero, height - 1)]
 
 
-def footprint(width: Column, height: Column, camera_to_world: mat.Matrix) -> Column:
-    """The image corners' rays (unit in the image plane, depth 1) on the plane at depth 1, as ``array<struct>``."""
-    out = []
-    for x, y in image_corners(width, height):
-        dx, dy = x - width / 2, y - height / 2
-        n = hypot(dx, dy)
-        px, py = mat.dehomogenise(mat.apply(camera_to_world, [F.try_divide(dx, n), F.try_divide(dy, n), 1.0]))
-        out.append(F.struct(px.alias("x"), py.alias("y")))
-    return F.array(*out)
+def with_footprint(images: DataFrame) -> DataFrame:
+    """``images`` (``width, height`` and ``r00`` to ``r22``) with ``corners``: the image corners' rays (unit in the image
+    plane, depth 1) on the plane at depth 1, as ``array<struct>``. One lambda serves the four corners: their unrolled
+    expressions are too long for the compiler of generated code."""
+    corners = F.array(*(F.struct((x - F.col("width") / 2).alias("dx"), (y - F.col("height") / 2).alias("dy")) for x, y in image_corners(F.col("width"), F.col("height"))))
+    back = mat.transpose(rotation_columns())
+
+    def on_plane(ray: Column) -> Column:
+        px, py = mat.dehomogenise(mat.apply(back, [ray["x"], ray["y"], 1.0]))
+        return F.struct(px.alias("x"), py.alias("y"))
+
+    unit = lambda p: F.struct(*(F.try_divide(p[f"d{c}"], hypot(p["dx"], p["dy"])).alias(c) for c in "xy"))
+    return images.withColumn("corners", F.transform(F.transform(corners, unit), on_plane))
 
 
 def canvas(corners: Column, side: int = DEFAULT.rectified_side) -> Column:

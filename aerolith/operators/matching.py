@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith import schemas
@@ -15,17 +15,26 @@ from aerolith.config import DEFAULT
 PAIR = ["img_lhs", "img_rhs"]
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
+def cosine(least: float) -> Callable:
+    """A pair matcher by cosine similarity: every pair of features of at least ``least``. A descriptor without length
+    is like nothing."""
 
+    def match(kpts0, desc0: np.ndarray, kpts1, desc1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def unit(d):
+            length = np.linalg.norm(d, axis=1, keepdims=True)
+            return np.divide(d, length, out=np.zeros_like(d), where=length > 0)
 
-def score_pairs(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """The default scorer: cosine similarity of all features of a pair's two images. An image without features
-    takes its pairs with it. Both sides hold at most the features per image that ``strongest`` leaves."""
-    side = lambda image, index, desc: features.select(F.col("image_id").alias(image), F.col("feat_idx").alias(index), F.col("descriptor").alias(desc))
-    both = pairs.join(side("img_lhs", "lhs", "d0"), "img_lhs").join(side("img_rhs", "rhs", "d1"), "img_rhs")
-    return both.select(*PAIR, "lhs", "rhs", cosine(F.col("d0"), F.col("d1")).alias("score"))
+        scores = unit(desc0) @ unit(desc1).T
+        at = np.argwhere(scores >= least)
+        return at, scores[at[:, 0], at[:, 1]]
+
+    return match
+
+
+def score_pairs(pairs: DataFrame, features: DataFrame, least: float = DEFAULT.match_score) -> DataFrame:
+    """The default scorer: cosine similarity, at least ``least``, of the features of a pair's two images. An image
+    without features takes its pairs with it."""
+    return score_with(pairs, features, cosine(least))
 
 
 def above(matches: DataFrame, score: float = DEFAULT.match_score) -> DataFrame:
@@ -87,22 +96,30 @@ def encoded(matches: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def score_with(pairs: DataFrame, features: DataFrame, matcher: Callable) -> DataFrame:
-    """Raw matches of a learned matcher: ``matcher(kpts0, desc0, kpts1, desc1)`` gives index pairs and scores. The
-    features of an image, as ``strongest`` bounds them, travel as one array; images without any drop out."""
-    packed = features.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("feat_idx", "nx", "ny", "descriptor"))).alias("f"))
+    """Raw matches of a matcher: ``matcher(kpts0, desc0, kpts1, desc1)`` gives index pairs and scores. The features of
+    an image, as ``strongest`` bounds them, travel as one array, so that a pair is one row and its scores are one matrix
+    product; images without any drop out. ``features`` has ``descriptor`` and, for learned matchers, ``nx, ny``."""
+    points = [c for c in ("nx", "ny") if c in features.columns]
+    packed = features.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("feat_idx", *points, "descriptor"))).alias("f"))
     side = lambda image, out: packed.select(F.col("image_id").alias(image), F.col("f").alias(out))
     both = pairs.select(*PAIR).join(side("img_lhs", "f0"), "img_lhs").join(side("img_rhs", "f1"), "img_rhs")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for r in f.itertuples():
-                args, ids = [], []
-                for side_features in (r.f0, r.f1):
-                    args += [np.array([(p["nx"], p["ny"]) for p in side_features]), np.array([list(p["descriptor"]) for p in side_features])]
-                    ids.append([p["feat_idx"] for p in side_features])
-                found, scores = matcher(*args)
-                rows += [(r.img_lhs, r.img_rhs, ids[0][int(a)], ids[1][int(b)], float(s)) for (a, b), s in zip(found, scores, strict=True)]
-            yield pd.DataFrame(rows, columns=[*PAIR, "lhs", "rhs", "score"])
-
-    return both.select(*PAIR, "f0", "f1").mapInPandas(run, schemas.MATCH)
+    def unpacked(cell: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f = cell.flatten()
+        n = len(f)
+        kpts = np.column_stack([f.field(c).to_numpy(zero_copy_only=False) for c in points]) if points else np.zeros((n, 0))
+        return f.field("feat_idx").to_numpy(zero_copy_only=False), kpts, f.field("descriptor").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k in range(batch.num_rows):
+                ids0, kpts0, desc0 = unpacked(batch.column(2).slice(k, 1))
+                ids1, kpts1, desc1 = unpacked(batch.column(3).slice(k, 1))
+                found, scores = matcher(kpts0, desc0, kpts1, desc1)
+                found = np.asarray(found, np.int64).reshape(-1, 2)
+                n = len(found)
+                columns = [np.full(n, ends[0][k]), np.full(n, ends[1][k]), ids0[found[:, 0]], ids1[found[:, 1]]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(np.asarray(scores, float), pa.float64())], names=[*PAIR, "lhs", "rhs", "score"])
+
+    return both.select(*PAIR, "f0", "f1").mapInArrow(run, schemas.MATCH)

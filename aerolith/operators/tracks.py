@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.operators.graph import components
 from aerolith.runtime import written
 
 #: A component of up to this many edges is split inside one task.
 TASK_EDGES = 50_000
-#: A graph of up to this many distinct edges is contracted inside one task.
-GRAPH_EDGES = 200_000
 
 
 def edge_weights(links: DataFrame) -> DataFrame:
@@ -26,51 +22,6 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", "score").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
 
 
-def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All edges of a small graph at once: labels fall to the smaller end until nothing changes."""
-    held = list(frames)
-    if not held:
-        return
-    every = pd.concat(held, ignore_index=True)
-    nodes, ends = np.unique(every[["u", "v"]].to_numpy().ravel(), return_inverse=True)
-    u, v = ends.reshape(-1, 2).T
-    parent = np.arange(len(nodes))
-    while True:
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-        p, q = parent[u], parent[v]
-        if (p == q).all():
-            break
-        np.minimum.at(parent, np.maximum(p, q), np.minimum(p, q))
-    yield pd.DataFrame({"node": nodes, "root": nodes[parent]})
-
-
-def components(edges: DataFrame, name: str = "components", graph_edges: int = GRAPH_EDGES) -> DataFrame:
-    """Connected components of ``edges(a, b)`` as ``(node, root)``, root the smallest node.
-
-    A graph of up to ``graph_edges`` edges is contracted in one task. Beyond that: large-star and small-star contraction in turn, where each node links to the smallest node around it. Rounds grow
-    with the logarithm of the longest chain; each is a grouped minimum and a join whose result is written to
-    the shared folder. A hub's neighbours meet in a map-side combined minimum, never in a collected list.
-    """
-    cur = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    if cur.count() <= graph_edges:
-        return cur.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInPandas(_contracted, "node long, root long")
-    seen = None
-    while True:
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written first, so that the join is of two plain shuffles and a hub's rows can be split.
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
-        large = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        cur = written(small, name)
-        got = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if got == seen:
-            roots = cur.select(F.col("v").alias("node")).distinct()
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
-        seen = got
-
-
 def tracks(edges: DataFrame) -> DataFrame:
     """``track_id, node``: a track is a component, named by its smallest node."""
     return components(edges, "tracks").select(F.col("root").alias("track_id"), "node")

@@ -4,6 +4,7 @@ stands for the i-th element from 1."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: view -> (base table, {column: expression}, condition)
 VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
@@ -59,7 +60,7 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
             "fx": "CAST(3000 AS DOUBLE)",
             "fy": "CAST(3000 AS DOUBLE)",
         },
-        "n_nationkey < 16",
+        "",
     ),
     "scene_points": (
         "part",
@@ -111,10 +112,11 @@ def view_sql(name: str) -> str:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scene points seen by the cameras: image coordinates within 1000 pixels of the centre."""
-    cameras = view(spark, sf_dir, "cameras")
-    points = view(spark, sf_dir, "scene_points").selectExpr("*", "explode(sequence(0L, 15L)) AS image_id")
-    seen = points.join(cameras, "image_id").selectExpr("track_id", "image_id", "cx", "cy", "cz", "fx", "fy", "fx * (X - cx) / (cz - Z) AS u", "fy * (Y - cy) / (cz - Z) AS v", "X", "Y", "Z")
+    """Scene points seen by the cameras: image coordinates within 1000 pixels of the centre. The cameras (one for each
+    nation) travel as one array beside every point."""
+    cameras = view(spark, sf_dir, "cameras").agg(F.collect_list(F.struct("image_id", "cx", "cy", "cz", "fx", "fy")).alias("cameras"))
+    points = view(spark, sf_dir, "scene_points").crossJoin(F.broadcast(cameras)).select("*", F.inline("cameras"))
+    seen = points.selectExpr("track_id", "image_id", "cx", "cy", "cz", "fx", "fy", "fx * (X - cx) / (cz - Z) AS u", "fy * (Y - cy) / (cz - Z) AS v", "X", "Y", "Z")
     return seen.where("abs(u) <= 1000 AND abs(v) <= 1000")
 
 
