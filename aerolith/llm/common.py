@@ -1,10 +1,11 @@
-"""Shared helpers: gapless ranks and connected components over written tables."""
+"""Shared helpers: gapless ranks over written tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolith.operators.graph import components
 from aerolith.runtime import scratch, shared_dir, written
 
 __all__ = ["components", "gapless", "numbered", "scratch", "shared_dir", "written"]
@@ -25,27 +26,3 @@ def gapless(df: DataFrame, group: str, out: str) -> DataFrame:
     base = counts.select(group, "__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     local = F.row_number().over(Window.partitionBy(group, "__pid").orderBy("__seq"))
     return df.withColumn("__local", local).join(base, [group, "__pid"]).withColumn(out, F.col("__base") + F.col("__local") - 1).drop("__local", "__base")
-
-
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """Connected components of ``edges(a, b)`` (any orderable type) as ``(node, root)``, root the smallest node.
-
-    Large-star and small-star contraction in turn. Each round is a grouped minimum and a join, its result is
-    written to the shared folder, and rounds grow with the logarithm of the longest chain. The hub of a large
-    star meets its neighbours through a map-side combined minimum, never through a collected list.
-    """
-    cur = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    seen = None
-    while True:
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written first, so that the join is of two plain shuffles and a hub's rows can be split.
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
-        large = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small_low.select("u", F.col("m").alias("v"))).distinct()
-        cur = written(small, name)
-        got = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if got == seen:
-            break
-        seen = got
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -73,28 +73,99 @@ def test_bit_sliced_pairs_equal_popcount():
             prints[i] ^= np.uint64(1) << np.uint64(b)
     blocks = -(-len(prints) // 64)
     a, b = (x.ravel() for x in np.meshgrid(np.arange(blocks), np.arange(blocks)))
-    for radius in range(5):
-        got = {(int(i), int(j)) for x, y in simhash.Slices(prints).within(a, b, radius) for i, j in zip(x, y, strict=True) if i < len(prints) and j < len(prints)}
+    for radius in (0, 1, 2, 3, 4, 7, 20, 31):
+        got = {(int(i), int(j)) for x, y in simhash.Slices(prints).within(a, b, radius) for i, j in zip(x, y, strict=True)}
         assert got == {(i, j) for i in range(len(prints)) for j in range(len(prints)) if (int(prints[i]) ^ int(prints[j])).bit_count() <= radius}
+    long = np.column_stack([prints, prints[::-1]])
+    far = np.bitwise_count(long[:, None] ^ long[None]).sum(axis=2)
+    for radius in (5, 44, 64):
+        got = {(int(i), int(j)) for x, y in simhash.Slices(long).within(a, b, radius) for i, j in zip(x, y, strict=True)}
+        assert got == set(zip(*(v.tolist() for v in np.nonzero(far <= radius)), strict=True))
 
 
 def test_tiles_lose_no_link(spark):
     rng = np.random.default_rng(2)
     prints = {int(p) for p in rng.integers(0, 1 << 12, 300)} | {(1 << 40) + (1 << i) for i in range(30)}
     prints = np.array(sorted(prints), np.int64)
-    df = spark.createDataFrame([(int(p),) for p in prints], "__fp long")
-    roots = [{r.fp: r.root for r in simhash.classes(df, tile).collect()} for tile in (4, 4096)]
+    df = spark.createDataFrame([(int(p),) for p in prints], "fp long")
+    roots = [{r.fp: r.root for r in simhash.classes(df, *how).collect()} for how in ((4096,), (4,), (64, 7), (64, 8))]
     same = [{frozenset(k for k in r if r[k] == v) for v in r.values()} for r in roots]
-    assert same[0] == same[1] and len(same[0]) >= 1
+    assert all(s == same[0] for s in same) and len(same[0]) >= 1
 
 
-def test_one_of_each_component_stays(make_docs, odd_rows):
-    rows = [*odd_rows, *near()]
-    docs = make_docs(rows)
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and kept.schema.simpleString() == docs.schema.simpleString()
-    classes = brute_components(rows)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(c) for c in {c for _, _, c in classes})
+def brute_sets(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_kept(rows):
+    """The smallest doc_id of each component of pairs at Jaccard 0.8 or more (sets without shingles are equal)."""
+    sets, parent = [brute_sets(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                parent[find(i)] = find(j)
+    best = {}
+    for i, (doc, _) in enumerate(rows):
+        best[find(i)] = min(best.get(find(i), (True, 0)), (doc is None, doc or 0))
+    return sorted("None" if none else str(doc) for none, doc in best.values())
+
+
+def edited(seed=6, families=12, copies=8):
+    """Copies at similarities around 0.8, and chains of copies of copies."""
+    rng = random.Random(seed)
+    rows = []
+    for f in range(families):
+        base = [f"f{f}w{rng.randrange(900)}" for _ in range(rng.choice([12, 60, 200, 400]))]
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(rng.randrange(1 + len(own) // 30)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(9999)}"
+            rows.append((1000 + len(rows), " ".join(own)))
+            if f % 3 == 0:
+                base = own
+    rng.shuffle(rows)
+    return rows
+
+
+def kept(docs):
+    return sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect())
+
+
+def test_one_of_each_component_stays_as_by_brute_force(spark, make_docs, odd_rows):
+    rows = [*odd_rows, *edited()]
+    want = brute_kept(rows)
+    assert len(set(want)) < len({d for d, _ in rows})
+    assert kept(make_docs(rows)) == want
+
+
+def test_one_of_each_component_stays_as_by_brute_force_on_documents(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    assert kept(docs) == brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_families_over_several_tiles(spark, make_docs):
+    """A family that is dealt over pairs of small tiles gives the same classes."""
+    rows = edited(seed=7, families=3, copies=40)
+    table = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in rows], "row long, text binary")
+    one = table.mapInArrow(simhash._sketched, simhash.SKETCH).withColumnRenamed("row", "id")
+    found = []
+    for tile, size in ((8, 1 << 30), (1 << 20, 1 << 14), (1 << 20, 1 << 30)):
+        root = {r.node: r.root for r in simhash.resembling(one, table.withColumnRenamed("row", "id"), tile, size).collect()}
+        found.append({frozenset(k for k in root if root[k] == v) for v in root.values()})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 2
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6, "x", 1), (2, "A  b", 5, 6, "y", 2)], "doc_id long, text string, __fp int, row int, `doc` string, bands int")
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "a b", 5, 6, "x", 1)]
 
 
 def test_empty(make_docs):
