@@ -35,7 +35,10 @@ AUTHORITY = re.compile(r"[^\s\"'<>]+")
 PERSONAL_URL = re.compile(r"[^/?#]*@|.*[?&](?:e?mail|user(?:name)?|phone|tel|name)=[^&#]+|[^/?#]+/(?:~|users?/|profile/|in/)[A-Za-z0-9._-]+", re.I)
 #: Identifier cues, as they stand in text in either case.
 CUES = ("iban", "account", "acct", "passport", "ssn")
-CUED = re.compile(r"(?:\s*(?:no\.?|number|num|nr\.?|#))?\s*[:=#]?\s*([A-Za-z]{0,3}[0-9][0-9A-Za-z]*(?:[ -][0-9A-Za-z]+)*)", re.I)
+CUED = re.compile(r"(?:\s*+(?:no\.?|number|num|nr\.?|#))?+\s*+[:=#]?\s*+([A-Za-z]{0,3}[0-9][0-9A-Za-z]*+)", re.I)
+#: The first characters of an IBAN in groups, and what it consists of.
+IBAN_START = re.compile(r"[A-Za-z]{2}[0-9]{2}")
+GROUPED = re.compile(r"[0-9A-Za-z]|[ -](?=[0-9A-Za-z])")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 
 
@@ -73,21 +76,33 @@ ANCHORS = build_anchors()
 
 
 def _account(text: str, at: int) -> tuple[int, int] | None:
-    """The identifier after a cue that ends at ``at``: the longest run of groups that makes an IBAN, else the
-    first group, of 6 to 20 characters with five digits at least."""
-    m = CUED.match(text, at, at + 80)
+    """The identifier after a cue that ends at ``at``: the longest run of groups (parted by single blanks or hyphens)
+    that makes an IBAN, else the first group, of 6 to 20 characters with five digits at least. No part of the pattern
+    gives back what it has read, and an IBAN has at most 34 characters, so the work is linear."""
+    m = CUED.match(text, at)
     if not m:
         return None
-    value, start = m[1], m.start(1)
-    ends = [i for i in range(1, len(value) + 1) if i == len(value) or value[i] in " -"]
-    for end in reversed(ends):
-        if iban(re.sub("[ -]", "", value[:end]).upper()):
-            return start, start + end
-    if 6 <= ends[0] <= 20 and sum(c.isdigit() for c in value[: ends[0]]) >= 5:
-        return start, start + ends[0]
+    start, end = m.span(1)
+    if IBAN_START.match(text, start):
+        value, place, best = "", start, None
+        while len(value) <= 34 and (c := GROUPED.match(text, place)):
+            value += c[0].strip(" -").upper()
+            place = c.end()
+            if (place == len(text) or not text[place].isalnum() or not text[place].isascii()) and iban(value):
+                best = place
+        if best:
+            return start, best
+    if end - start <= 20 and end - start >= 6 and sum(c in "0123456789" for c in text[start:end]) >= 5:
+        return start, end
     return None
 
 
+def octet(part: str) -> bool:
+    """Whether a run of digits, with any number of zeros before, is at most 255."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind index, end)`` of every span, in order, in code points."""
     found = []
@@ -104,7 +119,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
             if at >= done["ip"] and at >= run_end:
                 if m := IP.match(text, at):
                     done["ip"] = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                    if all(map(octet, m[0].split("."))):
                         found.append((at, 1, m.end()))
                 else:
                     run_end = DIGITS.match(text, at).end()
@@ -144,7 +159,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            counts, sha, text_spans = [[] for _ in BASE], [], []
+            counts, sha, text_spans, total = [[] for _ in BASE], [], [], []
             for text in part.column(1).to_pylist():
                 found = spans(text) if text else []
                 base = [x for x in found if x[1] < len(BASE)]
@@ -152,13 +167,14 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     column.append(sum(x[1] == k for x in base))
                 sha.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 text_spans.append(joined(found))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(text_spans, pa.string())], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+                total.append(len(found))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(text_spans, pa.string()), pa.array(total, pa.int64())], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"])
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """A row per document: the counts of the base kinds, the digest of their spans, and all spans."""
+    """A row per document: the counts of the base kinds, the digest of their spans, all spans and their number."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(_find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def masked(text: str | None) -> str | None:
