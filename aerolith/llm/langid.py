@@ -4,17 +4,22 @@ The network reads a text in segments of 96 bytes, forwards and backwards, labels
 over the languages, and a text's probabilities are the mean over its letter bytes. It is trained in numpy by
 backpropagation through time on a bounded sample: at most ``PER_LANGUAGE`` documents of each language, chosen by
 hash among those with a label whose doc_id is not held out, with up to ``SLICE`` characters each. Gates are
-clipped linear functions, so a step is additions, products and clips.
+clipped linear functions, so a step is additions, products and clips. A letter is what Unicode calls one (L*); the
+bytes of letters count, all others are only context.
+
+``keep_identified`` trains one more class on noise: the sample's own texts with their letters drawn evenly, shuffled, or
+taken from another script. A document is rejected when the probability of noise, pooled over its letter bytes, is
+above a bound that falls from 1 to ``NOISE`` with the number of letter bytes, so a short text needs to be odder.
 
 Defined results: a null text or one without letters is ``und`` with score 0; so is every text where no labelled
-document can be learned from. A null ``doc_id`` is not held out, and nothing is learned from it. Repeated rows
-give equal results; an empty table gives an empty result; other columns are ignored by ``identify`` and kept by
-``keep_identified``. Every byte of a text counts, however long it is.
+document can be learned from (``keep_identified`` then keeps all texts with a letter). A null ``doc_id`` is not held
+out, and nothing is learned from it. Repeated rows give equal results; an empty table gives an empty result; other
+columns, whatever their names, are ignored by ``identify`` and kept by ``keep_identified``. Every byte of a text counts,
+however long it is.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,21 +28,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FOLDS = 5
-#: The bound of the training sample.
-PER_LANGUAGE, SLICE = 300, 384
+#: The bound of the training sample: the languages with most documents, documents of each, characters of a document.
+LANGUAGES, PER_LANGUAGE, SLICE = 64, 300, 384
 #: Steps in which the share of a language's documents that enters the sample is counted.
 SHARES = 1 << 40
 SEGMENT, HIDDEN = 96, 8
 STEPS, BATCH, RATE = 260, 128, 0.02
 #: Segments that run side by side.
 LANES = 2048
-#: ``keep_identified`` rejects ``und``, and documents that are likelier as letters drawn evenly than as text of a
-#: language, by byte pairs: by more than AGAINST (natural logarithm) in all, so a short text needs to be odder, and by
-#: more than EACH for a pair, as clean texts hold names and phrases that the sample lacks.
-AGAINST, EACH = 25.0, 0.5
-LETTER = re.compile(r"[^\W\d_]")
-WORD = re.compile(r"[^\W\d_]+")
-#: Bytes that count towards a document: ASCII letters and all bytes of other characters.
+#: ``keep_identified``: units, noise texts, and the least probability of noise that rejects; for n letter bytes it is
+#: higher by NOISE_SLACK / sqrt(n).
+NOISE_HIDDEN, NOISE_TEXTS = 12, 600
+NOISE, NOISE_SLACK = 0.5, 4.5
+#: ASCII letters, and the bytes of other characters, which ``lettered`` takes out where they are no letters.
 LETTER_BYTES = np.array([c >= 128 or 65 <= c <= 90 or 97 <= c <= 122 for c in range(256)])
 
 
@@ -98,15 +101,15 @@ def probabilities(w: dict[str, np.ndarray], codes: np.ndarray) -> np.ndarray:
     return s
 
 
-def gradients(w: dict[str, np.ndarray], codes: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross-entropy over the letter positions, and its gradients by backpropagation through time."""
+def gradients(w: dict[str, np.ndarray], codes: np.ndarray, label: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy over the positions that count, and its gradients by backpropagation through time."""
     keep: dict[str, dict] = {"0": {}, "1": {}}
     h = {d: states(w, d, codes, keep[d]) for d in "01"}
     s = h["0"] @ w["V0"] + h["1"] @ w["V1"] + w["c"]
     s -= s.max(axis=2, keepdims=True)
     p = np.exp(s)
     p /= p.sum(axis=2, keepdims=True)
-    weight = LETTER_BYTES[codes].astype(p.dtype)
+    weight = counts.astype(p.dtype)
     total = max(float(weight.sum()), 1.0)
     lanes = np.arange(codes.shape[1])
     loss = -float((np.log(p[:, lanes, label] + 1e-9) * weight).sum()) / total
@@ -138,20 +141,36 @@ def segments(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(n * SEGMENT, b"\0"), np.uint8).reshape(n, SEGMENT).T
 
 
-def fit(sample: list[tuple[str, str]], seed: int = 3) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Labels and weights from ``(text, label)`` pairs; Adam with a falling rate, languages in equal shares."""
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
+def lettered(text: str) -> bytes:
+    """As many bytes as the text has in UTF-8, with blanks for the characters beyond ASCII that are no letters."""
+    data = text.encode()
+    if len(data) == len(text):
+        return data
+    other = {ord(c): " " * len(c.encode()) for c in set(text) if c > "\x7f" and not c.isalpha()}
+    return text.translate(other).encode() if other else data
+
+
+def fit(sample: list[tuple[str, str]], noise: list[str] = (), hidden: int = HIDDEN, seed: int = 3) -> tuple[list[str], dict[str, np.ndarray]]:
+    """Labels and weights from ``(text, label)`` pairs; Adam with a falling rate, classes in equal shares. With ``noise``
+    the network has a last class without label."""
     labels = sorted({label for _, label in sample})
     rng = np.random.default_rng(seed)
-    weights = new_weights(rng, max(len(labels), 1))
-    pools = [[s for text, label in sample if label == name and text for s in segments(text.encode()).T] for name in labels]
+    texts = [[text for text, label in sample if label == name and text] for name in labels] + ([list(noise)] if noise else [])
+    weights = new_weights(rng, max(len(texts), 1), hidden)
+    pools = [[(s, m) for t in pool for s, m in zip(segments(t.encode()).T, LETTER_BYTES[segments(lettered(t))].T, strict=True)] for pool in texts]
     used = [k for k, p in enumerate(pools) if p]
     if len(used) < 2:
         return labels, weights
     first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
         label = np.array(used)[rng.integers(0, len(used), BATCH)]
-        codes = np.stack([pools[k][rng.integers(len(pools[k]))] for k in label], axis=1)
-        _, g = gradients(weights, codes, label)
+        drawn = [pools[k][rng.integers(len(pools[k]))] for k in label]
+        codes, counts = (np.stack(x, axis=1) for x in zip(*drawn, strict=True))
+        _, g = gradients(weights, codes, label, counts)
         rate = RATE * (1 - 0.9 * step / STEPS)
         for k in weights:
             first[k] = 0.9 * first[k] + 0.1 * g[k]
@@ -160,6 +179,29 @@ def fit(sample: list[tuple[str, str]], seed: int = 3) -> tuple[list[str], dict[s
     return labels, weights
 
 
+def noise_like(sample: list[tuple[str, str]], seed: int = 5) -> list[str]:
+    """Texts of the sample whose letters are drawn evenly, shuffled, or taken from a stretch of another script."""
+    rng, texts, out = np.random.default_rng(seed), [t for t, _ in sample], []
+    if not texts:
+        return out
+    letters = sorted({c for t in texts for c in t if c.isalpha()})
+    ascii_letters = [c for c in letters if c.isascii()] or letters
+    for k in range(NOISE_TEXTS):
+        text = texts[rng.integers(len(texts))]
+        if k % 3 == 0:
+            pool = letters if k % 2 else ascii_letters
+        elif k % 3 == 1:
+            pool = [c for c in text if c.isalpha()]
+        else:
+            pool = []
+            while not pool:
+                at = int(rng.integers(0x370, 0xD700))
+                pool = [c for c in map(chr, range(at, at + int(rng.choice([48, 2000])))) if c.isalpha()]
+        of_text = iter(rng.permutation(pool).tolist())
+        out.append("".join((next(of_text) if k % 3 == 1 else pool[rng.integers(len(pool))]) if c.isalpha() else c for c in text))
+    return out
+
+
 def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
@@ -172,10 +214,11 @@ def drawn(docs: DataFrame) -> list[tuple[str, str]]:
     """
     order = F.xxhash64("doc_id", "text")
     at = F.pmod(order, F.greatest(F.length("text") - SLICE, F.lit(0)) + 1).cast("int") + 1
-    learnable = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    share = learnable.groupBy("lang").agg((F.lit(4.0 * PER_LANGUAGE * SHARES) / F.count("*")).alias("share"))
+    learnable = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    counts = learnable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     # A row for each language, for which the network has an output: no larger than the model.
-    usable = learnable.where(F.col("text").isNotNull()).join(F.broadcast(share), "lang").where((F.pmod(order, F.lit(SHARES)) < F.col("share")) & F.col("text").rlike("\\p{L}"))
+    share = counts.select("lang", (F.lit(4.0 * PER_LANGUAGE * SHARES) / F.col("n")).alias("share"))
+    usable = learnable.join(F.broadcast(share), "lang").where(F.pmod(order, F.lit(SHARES)) < F.col("share"))
     rows = usable.select("lang", order.alias("order"), F.substring(F.col("text"), at, F.lit(SLICE)).alias("slice"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "slice"))).where(F.col("rank") <= PER_LANGUAGE)
     sample = [(r.slice, r.lang) for r in ranked.select("lang", "order", "slice").collect()]
@@ -187,70 +230,58 @@ def train(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
     return fit(drawn(docs))
 
 
-def _pairs(text: str) -> np.ndarray:
-    """Codes (first * 256 + second) of the byte pairs of a text's lower-cased words, with single spaces around each."""
-    codes = np.frombuffer(f" {' '.join(WORD.findall(text.lower()))} ".encode(), np.uint8).astype(np.int64)
-    return codes[:-1] * 256 + codes[1:]
-
-
-def evidence(sample: list[tuple[str, str]]) -> dict[str, np.ndarray]:
-    """For each label, by byte pair: the logarithm of the second byte's probability after the first in the label's
-    texts, less that of an even draw from the 26 letters and the space, or from the other 128 bytes."""
-    even = -np.log(np.where(np.arange(256) < 128, 27.0, 128.0))
-    out = {}
-    for name in {label for _, label in sample}:
-        n = sum(np.bincount(_pairs(text), minlength=1 << 16) for text, label in sample if label == name).reshape(256, 256)
-        single = (n.sum(axis=0) + 0.1) / (n.sum() + 25.6)
-        after = (n + 5 * single) / (n.sum(axis=1, keepdims=True) + 5)
-        out[name] = (np.log(after) - even).astype(np.float32).ravel()
-    return out
-
+def pooled(weights: dict[str, np.ndarray], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the class probabilities over each text's letter bytes, and their number. All segments of the texts run
+    side by side, LANES at a time."""
+    sums, counts = np.zeros((len(texts), len(weights["c"]))), np.zeros(len(texts))
 
-def is_text(found: dict[str, np.ndarray], label: str, score: float, text: str) -> bool:
-    """Whether ``evidence`` speaks for the text in some language; the network's label has its probability before,
-    the others share the rest."""
-    pairs = _pairs(text)
-    before = {k: score if k == label else (1 - score) / (len(found) - 1) for k in found}
-    best = max(float(v[pairs].sum(dtype=np.float64)) + np.log(max(before[k], 1e-4)) for k, v in found.items())
-    return best > -AGAINST - EACH * len(pairs)
+    def run(parts: list[np.ndarray], weight: list[np.ndarray], owner: list[np.ndarray]) -> None:
+        codes, w, who = np.concatenate(parts, axis=1), np.concatenate(weight, axis=1).astype(np.float32), np.concatenate(owner)
+        np.add.at(sums, who, np.einsum("tlk,tl->lk", probabilities(weights, np.ascontiguousarray(codes)), w))
+        np.add.at(counts, who, w.sum(axis=0))
 
-
-def label_documents(model: tuple[list[str], dict[str, np.ndarray]], texts: list[bytes]) -> list[tuple[str, float]]:
-    """Language and probability of each text. All segments of the texts run side by side, LANES at a time."""
-    labels, weights = model
-    sums, counts = np.zeros((len(texts), max(len(labels), 1))), np.zeros(len(texts))
-
-    def run(parts: list[np.ndarray], owner: list[np.ndarray]) -> None:
-        codes, who = np.concatenate(parts, axis=1), np.concatenate(owner)
-        weight = LETTER_BYTES[codes].astype(np.float32)
-        np.add.at(sums, who, np.einsum("tlk,tl->lk", probabilities(weights, np.ascontiguousarray(codes)), weight))
-        np.add.at(counts, who, weight.sum(axis=0))
-
-    parts, owner, held = [], [], 0
-    for i, data in enumerate(texts):
-        codes = segments(data)
+    parts, weight, owner, held = [], [], [], 0
+    for i, text in enumerate(texts):
+        codes, letters = segments(text.encode()), LETTER_BYTES[segments(lettered(text))]
         for lo in range(0, codes.shape[1], LANES):
             piece = codes[:, lo : lo + LANES]
             parts.append(piece)
+            weight.append(letters[:, lo : lo + LANES])
             owner.append(np.full(piece.shape[1], i))
             held += piece.shape[1]
             if held >= LANES:
-                run(parts, owner)
-                parts, owner, held = [], [], 0
+                run(parts, weight, owner)
+                parts, weight, owner, held = [], [], [], 0
     if parts:
-        run(parts, owner)
+        run(parts, weight, owner)
+    return sums, counts
+
+
+def label_documents(model: tuple[list[str], dict[str, np.ndarray]], texts: list[str]) -> list[tuple[str, float]]:
+    """Language and probability of each text."""
+    labels, weights = model
     out = []
-    for data, s, n in zip(texts, sums, counts, strict=True):
-        if not labels or not n or not LETTER.search(data.decode()):
+    for text, s, n in zip(texts, *pooled(weights, texts), strict=True):
+        if not labels or not n or not has_letter(text):
             out.append(("und", 0.0))
         else:
-            best = int(np.argmax(s))
+            best = int(np.argmax(s[: len(labels)]))
             out.append((labels[best], round(min(float(s[best] / n), 1.0), 4)))
     return out
 
 
-def _labelled(model, texts: pa.Array) -> list[tuple[str, float]]:
-    return label_documents(model, [t or b"" for t in texts.cast(pa.binary()).to_pylist()])
+def is_identified(model: tuple[list[str], dict[str, np.ndarray]], texts: list[str]) -> list[bool]:
+    """Whether each text has a letter and is not noise to a network with a last class for that."""
+    labels, weights = model
+    out = []
+    for text, s, n in zip(texts, *pooled(weights, texts), strict=True):
+        letters = n > 0 and has_letter(text)
+        out.append(letters and (not labels or s[-1] / n <= NOISE + NOISE_SLACK / np.sqrt(n)))
+    return out
+
+
+def _strings(texts: pa.Array) -> list[str]:
+    return [t or "" for t in texts.cast(pa.string()).to_pylist()]
 
 
 def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]] | None = None) -> DataFrame:
@@ -262,24 +293,22 @@ def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]] | N
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                found = _labelled(model, part.column(2))
+                found = label_documents(model, _strings(part.column(2)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows whose language is found, with all their columns: neither ``und`` nor unlike all languages' texts."""
-    sample = drawn(docs.select("doc_id", "text", "lang"))
-    model, found = fit(sample), evidence(sample)
+    """The rows whose language is found, with all their columns: those with a letter that are not noise."""
+    sample = drawn(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    model = fit(sample, noise_like(sample), NOISE_HIDDEN)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = part.column(at).cast(pa.string()).to_pylist()
-                labels = _labelled(model, part.column(at))
-                yield part.filter(pa.array([lang != "und" and is_text(found, lang, score, text) for (lang, score), text in zip(labels, texts, strict=True)], pa.bool_()))
+                yield part.filter(pa.array(is_identified(model, _strings(part.column(at))), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,8 @@ def test_gradients_equal_differences():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in langid.new_weights(rng, 3, 4).items()}
     codes, label = rng.integers(97, 110, (12, 5)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
-    _, g = langid.gradients(w, codes, label)
+    counts = rng.random(codes.shape) < 0.8
+    _, g = langid.gradients(w, codes, label, counts)
     for name in w:
         for _ in range(4):
             at = tuple(rng.integers(n) for n in w[name].shape)
@@ -38,7 +39,7 @@ def test_gradients_equal_differences():
             old, ends = w[name][at], []
             for step in (1e-6, -1e-6):
                 w[name][at] = old + step
-                ends.append(langid.gradients(w, codes, label)[0])
+                ends.append(langid.gradients(w, codes, label, counts)[0])
             w[name][at] = old
             assert abs((ends[0] - ends[1]) / 2e-6 - g[name][at]) < 1e-5, (name, at)
 
@@ -64,7 +65,7 @@ def test_probabilities_equal_a_plain_network():
 
 def test_batching_does_not_matter():
     model = (["a", "b"], langid.new_weights(np.random.default_rng(2), 2))
-    texts = [b"some text", b"", b"1 2 3", b"word " * 30_000, b"other"]
+    texts = ["some text", "", "1 2 3", "word " * 30_000, "other"]
     together = langid.label_documents(model, texts)
     assert together == [langid.label_documents(model, [t])[0] for t in texts]
     assert together[1] == together[2] == ("und", 0.0)
@@ -90,11 +91,35 @@ def test_gibberish_and_foreign_scripts_go(spark):
     rng = np.random.default_rng(4)
     letters, cyrillic = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя"
     words = lambda signs, n: " ".join("".join(rng.choice(list(signs), rng.integers(3, 9))) for _ in range(n))
-    odd = [words(s, n) for s in (letters, cyrillic) for n in (8, 40, 400)] + ["".join(chr(c) for c in rng.integers(0x4E00, 0x9FA0, n)) for n in (20, 400)]
-    short = ["Hello there", "A short line.", "Guten Tag", "Buenos días", "Merci beaucoup", "Thank you very much"]
+    odd = [words(s, n) for s in (letters, cyrillic) for n in (30, 40, 400)] + ["".join(chr(c) for c in rng.integers(0x4E00, 0x9FA0, n)) for n in (40, 400)]
+    short = ["This work is licensed under the GNU General Public License, version 3.", "Hello there", "A short line.", "Guten Tag", "Buenos días", "Merci beaucoup", "Thank you very much"]
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
     planted = spark.createDataFrame([(10**9 + i, t, None, "planted", len(t)) for i, t in enumerate(odd + short)], columns)
     kept = {r.doc_id for r in langid.keep_identified(docs.union(planted)).collect()}
     assert kept & {10**9 + i for i in range(len(odd) + len(short))} == {10**9 + len(odd) + i for i in range(len(short))}
     texts = {r.doc_id: r.text for r in docs.collect()}
-    assert kept >= {i for i, t in texts.items() if langid.LETTER.search(t or "")}
+    assert kept >= {i for i, t in texts.items() if langid.has_letter(t or "")}
+
+
+def test_letters_are_letters():
+    """Fractions, raised digits and Roman numeral signs are numbers; marks and symbols are no letters either."""
+    model = (["a", "b"], langid.new_weights(np.random.default_rng(2), 2))
+    texts = ["½ ² Ⅷ", "①②", "€ 12 %", "\u0301", "ß", "漢", "ª", "½a"]
+    assert [x[0] != "und" for x in langid.label_documents(model, texts)] == [False] * 4 + [True] * 4
+    for t in (*texts, "né ½ €uro 漢"):
+        assert len(langid.lettered(t)) == len(t.encode())
+        sums, counts = langid.pooled(model[1], [t])
+        assert counts[0] == sum(len(c.encode()) for c in t if c.isalpha())
+
+
+def test_the_sample_counts_texts_with_letters_only(spark):
+    rows = [(i, f"some words here {i}" if i % 50 == 0 else None, "xx") for i in range(5000)] + [(9000 + i, "autre texte", "yy") for i in range(10)]
+    sample = langid.drawn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    usable = [i for i in range(0, 5000, 50) if zlib.crc32(str(i).encode()) % 5]
+    assert sum(l == "xx" for _, l in sample) == len(usable)
+
+
+def test_the_number_of_languages_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = [(100 * k + i, f"text {k} {i}", f"l{k}") for k in range(5) for i in range(30 + k)]
+    assert {l for _, l in langid.drawn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))} == {"l3", "l4"}
