@@ -121,5 +121,5 @@ def test_the_sample_counts_texts_with_letters_only(spark):
 
 def test_the_number_of_languages_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(langid, "LANGUAGES", 2)
-    rows = [(100 * k + i, f"text {k} {i}", f"l{k}") for k in range(5) for i in range(30 + k)]
+    rows = [(1000 * k + i, f"text {k} {i}", f"l{k}") for k in range(5) for i in range(30 + 60 * k)]
     assert {l for _, l in langid.drawn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))} == {"l3", "l4"}

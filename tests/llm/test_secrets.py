@@ -1,10 +1,12 @@
 import hashlib
 import math
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
-from aerolith.llm import secrets
+from aerolith.llm import queries, secrets
 from tests.conftest import SF
 
 BASE = [
@@ -78,6 +80,47 @@ def test_window_entropy_by_increments(spark):
     assert all(abs(r.h - peak(r.v)) < 1e-9 for r in got)
 
 
+def test_work_grows_with_the_matches(spark):
+    """Eight times the matches take less than thirty times as long; quadratic work would take sixty-four times."""
+    times = []
+    for n in (4000, 32000):
+        text = " ".join(f"{i:032x} 9f8A7b6C5d4E3f2G1hZ{i}" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        (r,) = secrets.find_secrets(docs).collect()
+        times.append(time.perf_counter() - began)
+        assert r.n_hex == n and r.spans.count("entropy") == n
+        if n == 4000:
+            assert r.spans == joined(all_spans(text))
+    assert times[1] < 30 * max(times[0], 0.3)
+
+
+def test_planted_secrets_are_found(make_docs):
+    """Every random key of 32 characters or more lies in a span; plain words, identifiers and numbers in none."""
+    rng = random.Random(8)
+    signs = {"hex": "0123456789abcdef", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    rows, planted = [], {}
+    for i in range(300):
+        kind = rng.choice(list(signs))
+        value = "".join(rng.choice(signs[kind]) for _ in range(rng.randrange(32, 64)))
+        before = "some words, 550e8400-e29b-41d4-a716-446655440000 and 1234567890123456789012345 " + "x" * rng.randrange(5)
+        rows.append((i, f"{before} {value} thereafter-comes-a-hyphenated-run"))
+        planted[i] = (len(before) + 1, len(before) + 1 + len(value))
+    found = 0
+    for r in secrets.find_secrets(make_docs(rows)).collect():
+        spans = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
+        at, end = planted[r.doc_id]
+        found += any(s <= at and e >= end for s, e in spans)
+        assert all(s < end and e > at for s, e in spans)
+    assert found >= 0.98 * len(rows)
+
+
+def test_query_on_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.op4_secret_scan(spark, SF).collect()
+    assert len(got) == len(texts) and all(r.spans == joined(all_spans(texts[r.doc_id])) for r in got)
+
+
 def test_empty(make_docs):
     assert secrets.find_secrets(make_docs([])).count() == 0
 
