@@ -45,8 +45,10 @@ BLOCKS_BY_COUNT = ((1 << 22, 6), (1 << 27, 7), (1 << 62, 8))
 TILE = 4096
 LANES = 64
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Steps of the carry-save adders between two looks at the radius.
-LOOK = 4
+#: Steps of the carry-save adders between two looks at the radius, and pairs of blocks compared at a time.
+LOOK, PAIRS = 4, 64
+#: Rows that a task compares at a time, or one group more.
+HELD_ROWS = 1 << 13
 
 #: ``keep_one``: words of a shingle, least similarity as a fraction, bands of minima, radius of 128 bits, and bytes of
 #: shingle hashes in a tile.
@@ -108,15 +110,18 @@ class Slices:
         lanes = np.zeros((self.blocks * LANES, words), np.uint64)
         lanes[: self.n] = prints
         bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little").reshape(self.blocks, LANES, self.bits)
-        #: planes[b, k]: bit b of the lanes of block k; queries[b, k, lane]: all ones where the lane's bit b is set
-        by_bit = np.ascontiguousarray(bits.transpose(2, 0, 1))
-        self.planes = np.ascontiguousarray(np.packbits(by_bit, axis=2, bitorder="little")).view(np.uint64).reshape(self.bits, self.blocks)
-        self.queries = by_bit.astype(np.uint64) * ONES
+        #: planes[b, k]: bit b of the lanes of block k; lane_bits[b, k, lane]: bit b of one lane
+        self.lane_bits = np.ascontiguousarray(bits.transpose(2, 0, 1))
+        self.planes = np.ascontiguousarray(np.packbits(self.lane_bits, axis=2, bitorder="little")).view(np.uint64).reshape(self.bits, self.blocks)
+
+    def differing(self, bit: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each lane of blocks ``a`` as a query, all ones where its bit is set, the lanes of ``b`` that differ."""
+        return np.negative(self.lane_bits[bit][a].astype(np.uint64)) ^ self.planes[bit][b][:, None]
 
     def within(self, a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows (i, j) at distance ``radius`` or less, i in blocks ``a``, j in the blocks ``b`` beside them."""
-        for lo in range(0, len(a), 256):
-            yield self._within(a[lo : lo + 256], b[lo : lo + 256], radius)
+        for lo in range(0, len(a), PAIRS):
+            yield self._within(a[lo : lo + PAIRS], b[lo : lo + PAIRS], radius)
 
     def _within(self, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         shape, none = (len(a), LANES), (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -134,7 +139,7 @@ class Slices:
             return more
 
         for step, bit in enumerate(range(0, self.bits, 7), 1):
-            x = [self.queries[i][a] ^ self.planes[i][b][:, None] if i < self.bits else np.zeros(1, np.uint64) for i in range(bit, bit + 7)]
+            x = [self.differing(i, a, b) if i < self.bits else np.zeros(1, np.uint64) for i in range(bit, bit + 7)]
             s1, k1 = _csa(*x[:3])
             s2, k2 = _csa(*x[3:6])
             one, k3 = _csa(s1, s2, x[6])
@@ -294,7 +299,7 @@ def _forests(radius: int, words: list[str], size: str | None = None) -> Callable
     """Links ``(a, b)`` from rows ``(group, id, ...)`` sorted by group, whose columns ``words`` are the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_group(batches, 1 << 15):
+        for table in _by_group(batches, HELD_ROWS):
             if table.num_rows:
                 prints = np.column_stack([table.column(w).to_numpy() for w in words]).view(np.uint64)
                 sizes = table.column(size).to_numpy() if size else None
@@ -356,7 +361,7 @@ def classes(prints: DataFrame, tile: int = TILE, blocks: int | None = None) -> D
     rows = distinct.select(F.col("fp").alias("id"), F.explode(F.array(*bucket_keys(F.col("fp"), blocks))).alias("bucket"))
     tiles = written(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", _tiles(F.col("m") / tile)), "buckets")
     links = _met(_dealt(rows, tiles)).mapInArrow(_forests(RADIUS, ["id"]), "a long, b long")
-    return components(links, "simhash").select(F.col("node").alias("fp"), "root")
+    return components(written(links, "links"), "simhash").select(F.col("node").alias("fp"), "root")
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,14 +439,14 @@ def resembling(sketches: DataFrame, texts: DataFrame, tile: int = TILE, tile_byt
     rows = sketches.select("id", "n", "lo", "hi", F.explode("bands").alias("bucket"))
     mates = written(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", _tiles(F.col("m") / tile)), "bands")
     close = _met(_dealt(rows, mates), "n", "lo", "hi").mapInArrow(_forests(WIDE, ["lo", "hi"], "n"), "a long, b long")
-    family = written(components(close, "families").select(F.col("node").alias("id"), F.col("root").alias("bucket")), "families")
+    family = written(components(written(close, "close"), "families").select(F.col("node").alias("id"), F.col("root").alias("bucket")), "families")
     member = written(sketches.select("id", "n", "lo", "hi").join(family, "id"), "members")
     share = F.greatest(F.sum("n") * 8 / tile_bytes, F.count("*") / tile)
     sizes = written(member.groupBy("bucket").agg(_tiles(share)), "families")
     sets = written(texts.join(family.select("id"), "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, set binary"), "sets")
     groups = written(_dealt(member, sizes).select("id", "group", "lo", "hi"), "dealt")
     links = _met(groups.join(sets, "id"), "lo", "hi", "set").mapInArrow(_verified, "a long, b long")
-    return components(links, "resemblance")
+    return components(written(links, "links"), "resemblance")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
