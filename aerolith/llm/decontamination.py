@@ -1,18 +1,22 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and items are compared as lower-cased bytes with runs of ASCII punctuation and white space as one space.
-An item of m bytes may differ by m // 10 edits. It is cut into one piece more than that budget, so an
-occurrence within the budget holds one piece unchanged: an Aho-Corasick automaton over all pieces finds these
-hits in one pass. Each hit climbs a binary tree of neighbouring pieces, where p pieces may have p - 1 errors;
-some hit of a true occurrence passes every level. What reaches the root is verified by Myers' bit-parallel
-edit distance over the whole item.
-
-The items travel to the tasks in blocks of bounded bytes, each block in a pass of its own over the documents.
-
-Defined results: null or empty texts match nothing; items that are null or without letters or digits are
-skipped; null or repeated ``doc_id`` or ``item_id`` values are carried; repeated documents repeat their rows,
-repeated items are reported under each id; an empty table on either side gives no matches; other columns are
-ignored by ``find_leaks`` and kept by ``drop_leaks``.
+An item of m bytes may differ by m // 10 edits. Texts and items have a space before and after, so that an occurrence
+begins and ends at whole words; a missing border is an edit. An item is cut into one piece more than its budget, so an
+occurrence within the budget holds one piece unchanged: an Aho-Corasick automaton over all pieces finds these hits in
+one pass. Each hit climbs a binary tree of neighbouring pieces, where p pieces may have p - 1 errors; some hit of a true
+occurrence passes every level. A node is tested once for each stretch of text as long as its errors, with Myers'
+bit-parallel edit distance, up to the first place within its errors; the root, the whole item, over the whole stretch.
+
+The items are written once to the shared folder in blocks of bounded bytes. A task holds a bounded number of bytes of
+documents and takes the blocks through them one after another, so the documents are read once whatever the benchmark's
+size.
+
+Defined results: null or empty texts match nothing; items that are null or without letters or digits are skipped;
+``drop_leaks`` also skips items of under ``LEAST_BYTES`` compared bytes, which are no passages; null or repeated
+``doc_id`` or ``item_id`` values are carried; repeated documents repeat their rows, items equal in id and text are one,
+equal texts are reported under each id; an empty table on either side gives no matches; other columns, whatever their
+names, are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
@@ -22,13 +26,20 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.llm.common import scratch, written
+
 #: One edit is allowed for each so many bytes of an item.
 BYTES_PER_EDIT = 10
-#: Normalised items sent to the tasks at once.
+#: Bytes of items in one automaton, and of documents that a task takes the blocks through.
 BLOCK_BYTES = 1 << 20
+HELD_BYTES = 32 << 20
+#: ``drop_leaks`` takes items of fewer compared bytes for phrases of the language, not for leaked passages.
+LEAST_BYTES = 20
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
 
@@ -48,8 +59,9 @@ class Pattern:
         for i, c in enumerate(pattern):
             self.peq[c] = self.peq.get(c, 0) | 1 << i
 
-    def best(self, text: str) -> tuple[int, int]:
-        """The least edit distance of the pattern to any substring of ``text``, and the end of the first such."""
+    def best(self, text: str, enough: int = -1) -> tuple[int, int]:
+        """The least edit distance of the pattern to any substring of ``text``, and the end of the first such; the first
+        distance of at most ``enough`` will do."""
         pv, mv, score, full, top, peq = self.full, 0, self.m, self.full, self.top, self.peq
         least, end = score, 0
         for at, c in enumerate(text, 1):
@@ -62,12 +74,14 @@ class Pattern:
                 score += 1
             elif mh & top:
                 score -= 1
+                if score < least:
+                    least, end = score, at
+                    if least <= enough:
+                        break
             ph <<= 1
             mh <<= 1
             pv = (mh | ~(xv | ph)) & full
             mv = ph & xv & full
-            if score < least:
-                least, end = score, at
         return least, end
 
 
@@ -85,17 +99,21 @@ class Node:
         return self._pattern
 
 
+def bordered(text: str) -> str:
+    return f" {text} " if text else ""
+
+
 class Items:
-    """The automaton over the pieces of a block of items, with the trees that verify hits."""
+    """The automaton over the pieces of a block of items (compared forms), with the trees that verify hits."""
 
-    def __init__(self, items: tuple[tuple[int | None, str], ...]) -> None:
+    def __init__(self, items: list[tuple[int | None, str]]) -> None:
         self.ids = [i for i, _ in items]
         self.roots: list[Node] = []
         pieces: dict[str, list[tuple[int, Node]]] = {}
         for at, (_, text) in enumerate(items):
-            budget = len(text) // BYTES_PER_EDIT
-            cuts = [len(text) * k // (budget + 1) for k in range(budget + 2)]
-            self._tree(text, cuts, 0, budget + 1, None, at, pieces)
+            budget, whole = len(text) // BYTES_PER_EDIT, bordered(text)
+            cuts = [len(whole) * k // (budget + 1) for k in range(budget + 2)]
+            self._tree(whole, cuts, 0, budget + 1, None, at, pieces)
         self.automaton = ahocorasick.Automaton()
         for piece, uses in pieces.items():
             self.automaton.add_word(piece, (len(piece), uses))
@@ -114,89 +132,105 @@ class Items:
         self._tree(text, cuts, mid, hi, node, at, pieces)
 
     def matches(self, text: str) -> dict[int, tuple[int, int]]:
-        """By item: the least distance within the budget, and where that occurrence ends."""
+        """By item: the least distance within the budget to a stretch of a compared text, and the first place where
+        such a stretch ends, counted in the text with its borders."""
         found: dict[int, tuple[int, int]] = {}
         if not self.roots or not text:
             return found
-        tested: dict[int, set[int]] = {}
+        text, tested = bordered(text), {}
         for last, (length, uses) in self.automaton.iter(text):
             for at, leaf in uses:
                 start = last + 1 - length - leaf.start  # where the item would start without edits before the hit
-                node, root = leaf.parent, self.roots[at]
-                while node is not None and node is not root:
-                    lo = start + node.start - node.errors
-                    if node.pattern.best(text[max(lo, 0) : start + node.end + node.errors])[0] > node.errors:
+                node = leaf if leaf.parent is None else leaf.parent
+                while node is not None:
+                    k = node.errors
+                    cell = start // (k + 1)
+                    passed = tested.get((node, cell))
+                    if passed is None:
+                        window = text[max(cell * (k + 1) + node.start - k, 0) : (cell + 1) * (k + 1) + node.end + k]
+                        if node.parent is None:
+                            distance, end = node.pattern.best(window)
+                            passed = distance <= k
+                            if passed:
+                                place = distance, max(cell * (k + 1) - k, 0) + end
+                                found[at] = min(found.get(at, place), place)
+                        else:
+                            passed = node.pattern.best(window, k)[0] <= k
+                        tested[node, cell] = passed
+                    if not passed:
                         break
                     node = node.parent
-                if node is root or (node is None and leaf is root):
-                    k = root.errors
-                    cell = start // (k + 1)
-                    if cell in tested.setdefault(at, set()):
-                        continue  # the window of that cell has been verified
-                    tested[at].add(cell)
-                    lo = max(cell * (k + 1) - k, 0)
-                    distance, end = root.pattern.best(text[lo : (cell + 1) * (k + 1) + root.end + k])
-                    if distance <= k and (at not in found or distance < found[at][0]):
-                        found[at] = distance, lo + end
         return found
 
 
 @lru_cache(maxsize=2)
-def compiled(block: tuple[tuple[int | None, str], ...]) -> Items:
-    """The automaton of a block, built where it is used; a worker keeps the last two."""
-    return Items(block)
+def compiled(path: str, block: int, least: int) -> Items:
+    """The automaton of a stored block, built where it is used; a worker keeps the last two."""
+    fs, root = pafs.FileSystem.from_uri(path)
+    table = pads.dataset(f"{root}/block={block}", filesystem=fs, format="parquet").to_table(columns=["item_id", "text"])
+    items = ((i, normalised(t)) for i, t in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
+    return Items(sorted((x for x in items if len(x[1]) >= max(least, 1)), key=repr))
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[tuple[int | None, str], ...]]:
-    """The items in blocks of about ``BLOCK_BYTES``, taken to the driver one at a time."""
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).where("text is not null")
+def _store(benchmark: DataFrame) -> tuple[str, list[int]]:
+    """The different items, written in blocks of about ``BLOCK_BYTES``: the folder and the blocks' numbers."""
+    rows = written(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).where("text is not null").distinct(), "benchmark")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES)
-    for k in range(n):
-        block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield tuple(sorted(((r[0], t) for r in block if (t := normalised(r[1]))), key=repr))
+    n = max(1, -(-total // BLOCK_BYTES))
+    path = scratch(benchmark.sparkSession, "items")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    rows.repartition(n, "block").write.partitionBy("block").parquet(path)
+    return path, sorted(r.block for r in rows.select("block").distinct().collect())  # a number for each block
+
+
+def _held(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.Table, list[str]]]:
+    """Rows of up to ``HELD_BYTES`` of texts, or one row more, with the compared forms of the texts."""
+    parts, texts, size = [], [], 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
+            parts.append(part)
+            texts += [normalised(t) for t in part.column(column).cast(pa.binary()).to_pylist()]
+            size += sum(map(len, texts[-part.num_rows :]))
+            if size >= HELD_BYTES:
+                yield pa.Table.from_batches(parts), texts
+                parts, texts, size = [], [], 0
+    if parts:
+        yield pa.Table.from_batches(parts), texts
+
+
+LEAKS = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "distance", "budget", "end_byte")])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, distance, budget, end_byte`` (in the compared form) for each item that a text holds."""
-    schema = "doc_id long, item_id long, distance long, budget long, end_byte long"
+    """``doc_id, item_id, distance, budget, end_byte`` (in the compared form with its borders) for each item that a
+    text holds."""
+    path, blocks = _store(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, texts in _held(batches, 1):
+            ids = table.column(0).to_pylist()
+            for block in blocks:
+                items, out = compiled(path, block, 1), []
+                for doc_id, text in zip(ids, texts, strict=True):
+                    out += [(doc_id, items.ids[at], d, items.roots[at].errors, end) for at, (d, end) in sorted(items.matches(text).items())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], schema=LEAKS)
+
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in LEAKS.names))
 
-    def scan(block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = compiled(block)
-            for batch in batches:
-                out = []
-                for lo in range(0, batch.num_rows, 512):
-                    part = batch.slice(lo, 512)
-                    for doc_id, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        out += [(doc_id, items.ids[at], d, items.roots[at].errors, end) for at, (d, end) in sorted(items.matches(normalised(data)).items())]
-                columns = zip(*out, strict=True) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "budget", "end_byte"])
-
-        return run
-
-    found = [rows.mapInArrow(scan(block), schema) for block in _blocks(benchmark)]
-    out = found[0] if found else docs.sparkSession.createDataFrame([], schema)
-    for more in found[1:]:
-        out = out.union(more)
-    return out
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item of the benchmark, with all their columns."""
-    at = docs.columns.index("text")
 
-    def clean(block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = compiled(block)
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    part = batch.slice(lo, 512)
-                    yield part.filter(pa.array([not items.matches(normalised(t)) for t in part.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no item of ``least`` compared bytes or more, with all their columns."""
+    at = docs.columns.index("text")
+    path, blocks = _store(benchmark)
 
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, texts in _held(batches, at):
+            clean = [True] * len(texts)
+            for block in blocks:
+                items = compiled(path, block, least)
+                clean = [c and not items.matches(t) for c, t in zip(clean, texts, strict=True)]
+            yield from table.filter(pa.array(clean, pa.bool_())).to_batches()
 
-    for block in _blocks(benchmark):
-        docs = docs.mapInArrow(clean(block), docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

@@ -1,9 +1,12 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from aerolith.llm import decontamination as d
+from aerolith.llm import queries
+from tests.conftest import SF
 
 ITEM = "The quick onerble foxes jumped over seventeen lazy dogs, and then (slowly) walked back home again while singing."
 BENCH = "item_id long, text string, doc_id string"
@@ -36,11 +39,46 @@ def test_no_occurrence_within_the_budget_is_missed(seed):
         at = rng.randrange(len(own))
         own[at : at + rng.randrange(2)] = [rng.choice("abcd")] * rng.randrange(3)
     text = "".join(rng.choice("abcd ") for _ in range(60)) + "".join(own) + "".join(rng.choice("abcd ") for _ in range(60))
-    budget, best = len(item) // 10, brute(item, text)
-    found = d.Items(((7, item),)).matches(text)
-    assert (0 in found) == (best <= budget)
-    if found:
-        assert best <= found[0][0] <= budget
+    item, text = (d.normalised(x.encode()) for x in (item, text))
+    budget, (best, end) = len(item) // 10, d.Pattern(d.bordered(item)).best(d.bordered(text))
+    assert best == brute(d.bordered(item), d.bordered(text))
+    assert d.Items([(7, item)]).matches(text) == ({0: (best, end)} if best <= budget else {})
+
+
+def test_items_begin_and_end_at_words(spark, make_docs):
+    bench = spark.createDataFrame([(1, "yes", ""), (2, "a", ""), (3, "the word", "")], BENCH)
+    docs = make_docs([(1, "Many eyesores"), (2, "Yes, a word"), (3, "tithe words"), (4, "the... WORD")])
+    assert {(r.doc_id, r.item_id) for r in d.find_leaks(docs, bench).collect()} == {(2, 1), (2, 2), (4, 3)}
+    assert d.drop_leaks(docs, bench).count() == 4 and d.drop_leaks(docs, bench, least=8).count() == 3
+
+
+def test_a_long_item_finishes():
+    rng = random.Random(2)
+    item = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(9000))[:50_000].strip()
+    own = list(item)
+    for _ in range(300):
+        own[rng.randrange(len(own))] = "x"
+    text = "before " + "".join(own) + " after " + item[10_000:30_000]
+    began = time.perf_counter()
+    (distance, end), = d.Items([(1, item)]).matches(text).values()
+    assert 0 < distance <= 300 and abs(end - len(" before " + item + " ")) <= 1
+    assert time.perf_counter() - began < 120
+
+
+def test_query_equals_a_scan_of_whole_texts(spark):
+    """Every item against every whole document of the smallest table, without pieces."""
+    items = [(r.item_id, d.normalised(r.text.encode())) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = {r.doc_id: d.normalised((r.text or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {(r.doc_id, r.item_id): (r.distance, r.end_byte) for r in queries.op1_decontamination(spark, SF).collect()}
+    assert len({i for i, _ in got}) >= 3
+    short = {i for i, t in docs.items() if len(t) < 1500 or i in {doc for doc, _ in got if len(docs[doc]) < 6000}}
+    want = {}
+    for i in short:
+        for item, text in items:
+            best = d.Pattern(d.bordered(text)).best(d.bordered(docs[i]))
+            if best[0] <= len(text) // 10:
+                want[i, item] = best
+    assert {k: v for k, v in got.items() if k[0] in short} == want
 
 
 def test_documents(spark, make_docs, odd_rows):
@@ -57,6 +95,7 @@ def test_documents(spark, make_docs, odd_rows):
 
 def test_blocks_of_items(spark, make_docs, monkeypatch):
     monkeypatch.setattr(d, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(d, "HELD_BYTES", 300)
     bench = spark.createDataFrame([(i, f"{ITEM} number {i * 1117}", "") for i in range(8)], BENCH)
     docs = make_docs([(i, f"start {ITEM} number {i * 1117} end") for i in range(8)])
     got = {(r.doc_id, r.item_id) for r in d.find_leaks(docs, bench).collect() if r.distance == 0}

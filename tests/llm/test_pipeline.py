@@ -15,7 +15,7 @@ def test_stages(spark):
     assert docs.count() >= sizes[0] > sizes[1] > sizes[2] == sizes[3]
     texts = [r.text for r in before.collect()]
     assert not any(pii.spans(t) for t in texts)
-    items = decontamination.Items(tuple((r.item_id, decontamination.normalised(r.text.encode())) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()))
+    items = decontamination.Items([(r.item_id, decontamination.normalised(r.text.encode())) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
     assert not any(items.matches(decontamination.normalised(t.encode())) for t in texts)
 
 
