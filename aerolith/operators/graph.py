@@ -60,9 +60,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     pair, local = ["u", "v"], "u long, v long"
     ends = [f("a", "b").cast("long").alias(c) for f, c in ((F.greatest, "u"), (F.least, "v"))]
     cur = written(edges.select(*ends).where("u <> v").mapInArrow(_stars, local), name)
-    state = F.count("*"), F.sum(F.xxhash64(*pair).cast("decimal(38,0)"))
-    seen = cur.agg(*state).first()
-    while seen[0]:
+    while not _settled(cur):
         both = cur.select(*pair).union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written first, so that the join is of two plain shuffles and a hub's rows can be split.
         low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
@@ -71,9 +69,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         cur = written(small, name)
-        got = cur.agg(*state).first()
-        if got == seen:
-            break
-        seen = got
     roots = cur.select(F.col("v").alias("node")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every ``u`` has one ``v``, which is no other edge's ``u``."""
+    if not edges.groupBy("u").count().where("count > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
