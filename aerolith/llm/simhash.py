@@ -361,7 +361,7 @@ def classes(prints: DataFrame, tile: int = TILE, blocks: int | None = None) -> D
     rows = distinct.select(F.col("fp").alias("id"), F.explode(F.array(*bucket_keys(F.col("fp"), blocks))).alias("bucket"))
     tiles = written(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", _tiles(F.col("m") / tile)), "buckets")
     links = _met(_dealt(rows, tiles)).mapInArrow(_forests(RADIUS, ["id"]), "a long, b long")
-    return components(written(links, "links"), "simhash").select(F.col("node").alias("fp"), "root")
+    return components(links, "simhash").select(F.col("node").alias("fp"), "root")
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,56 +409,67 @@ def _second(hashes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _sketch(data: bytes | None) -> tuple[np.ndarray, int, int]:
+    """The sorted set of a text's shingle hashes and the halves of its fingerprint."""
+    hashes = np.unique(shingles(words_of(data), PIPELINE_WORDS))
+    return hashes, majority(hashes), majority(_second(hashes))
+
+
+def _signed(numbers: list[int]) -> pa.Array:
+    return pa.array(np.array(numbers, np.uint64).view(np.int64))
+
+
 SKETCH = "row long, key binary, n long, lo long, hi long, bands array<long>"
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``SKETCH`` from rows (row, text as bytes): a digest of the words, the number of different shingles, the
-    fingerprint's halves and the bands."""
+    """Rows of ``SKETCH`` from rows (row, text as bytes, ...): a digest of the words, the number of different shingles,
+    the fingerprint's halves and the bands; further columns follow."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            parts = [words_of(t) for t in part.column(1).to_pylist()]
-            sets = [np.unique(shingles(p, PIPELINE_WORDS)) for p in parts]
-            halves = [np.array([majority(f(s)) for s in sets], np.uint64).view(np.int64) for f in (lambda s: s, _second)]
-            columns = [part.column(0), pa.array([xxhash.xxh3_128_digest(b" ".join(p)) for p in parts], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, halves)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["row", "key", "n", "lo", "hi", "bands"])
+            texts = part.column(1).to_pylist()
+            keys = [xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in texts]
+            sets, low, high = zip(*map(_sketch, texts), strict=True)
+            columns = [part.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _signed(low), _signed(high), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            names = ["row", "key", "n", "lo", "hi", "bands"]
+            yield pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], names=[*names, *part.schema.names[2:]])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, bucket, lo, hi, set) from rows (id, bucket, text as bytes)."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            sets = [np.unique(shingles(words_of(t), PIPELINE_WORDS)).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+            sets, low, high = zip(*map(_sketch, part.column(2).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _signed(low), _signed(high), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "bucket", "lo", "hi", "set"])
 
 
 def resembling(sketches: DataFrame, texts: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
-    """``(node, root)`` of the rows that are alike. ``sketches`` has ``id, n, lo, hi, bands``, ``texts`` has ``id, text``
-    as bytes; both are written tables with a row for each different text."""
+    """``(node, root)`` of the rows that are alike. ``sketches`` has ``id, n, lo, hi, bands`` with a row for each
+    different text, ``texts`` has ``id, text`` as bytes; both are written tables."""
     rows = sketches.select("id", "n", "lo", "hi", F.explode("bands").alias("bucket"))
     mates = written(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", _tiles(F.col("m") / tile)), "bands")
     close = _met(_dealt(rows, mates), "n", "lo", "hi").mapInArrow(_forests(WIDE, ["lo", "hi"], "n"), "a long, b long")
-    family = written(components(written(close, "close"), "families").select(F.col("node").alias("id"), F.col("root").alias("bucket")), "families")
-    member = written(sketches.select("id", "n", "lo", "hi").join(family, "id"), "members")
-    share = F.greatest(F.sum("n") * 8 / tile_bytes, F.count("*") / tile)
+    family = written(components(close, "families").select(F.col("node").alias("id"), F.col("root").alias("bucket")), "families")
+    member = texts.join(family, "id").select("id", "bucket", "text").mapInArrow(_sets, "id long, bucket long, lo long, hi long, set binary")
+    member = written(member, "sets")
+    share = F.greatest(F.sum(F.octet_length("set")) / tile_bytes, F.count("*") / tile)
     sizes = written(member.groupBy("bucket").agg(_tiles(share)), "families")
-    sets = written(texts.join(family.select("id"), "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, set binary"), "sets")
-    groups = written(_dealt(member, sizes).select("id", "group", "lo", "hi"), "dealt")
-    links = _met(groups.join(sets, "id"), "lo", "hi", "set").mapInArrow(_verified, "a long, b long")
-    return components(written(links, "links"), "resemblance")
+    links = _met(_dealt(member, sizes), "lo", "hi", "set").mapInArrow(_verified, "a long, b long")
+    return components(links, "resemblance")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the one with the smallest ``doc_id`` stays
     (null last; of rows with equal ``doc_id`` the first written)."""
     text = F.col("text").cast("string").cast("binary")
-    rows = written(docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row")).select("doc", "doc_id", "row", "text"), "rows")
-    sketches = written(rows.select("row", "text").mapInArrow(_sketched, SKETCH), "sketches")
+    rows = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text")), "rows")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    sketches = written(rows.select("row", "text", "doc_id").mapInArrow(_sketched, f"{SKETCH}, doc_id {kind}"), "sketches")
     mine = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    same = sketches.select("row", "key").join(rows.select("row", "doc_id"), "row")
-    named = written(same.groupBy("key").agg(F.min("row").alias("id"), mine.alias("best")).select("id", "best"), "texts")
-    one = written(sketches.withColumnRenamed("row", "id").drop("key").join(named.select("id"), "id", "left_semi"), "distinct")
-    root = resembling(one, rows.select(F.col("row").alias("id"), "text")).withColumnRenamed("node", "id")
-    best = named.join(root, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("best").alias("best"))
+    same = sketches.groupBy("key").agg(F.min("row").alias("id"), mine.alias("best"), F.min_by(F.struct("n", "lo", "hi", "bands"), "row").alias("s"))
+    named = written(same.select("id", "best", "s.*"), "texts")
+    root = resembling(named, rows.select(F.col("row").alias("id"), "text")).withColumnRenamed("node", "id")
+    best = named.select("id", "best").join(root, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("best").alias("best"))
     return rows.join(best.select(F.col("best.row").alias("row")), "row", "left_semi").select("doc.*")
