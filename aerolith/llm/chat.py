@@ -6,14 +6,16 @@ role label on its first line, or a label such as ``User:`` that a line starts wi
 and its length class and question mark. Viterbi decoding recovers the states, also where labels are missing,
 unknown or wrong; each recovered turn is rendered as ``<|role|>``, a line feed, and its text.
 
-Transition and line probabilities are counted over all rows with a known role. A conversation is decoded in
-chunks of CHUNK turn numbers: a chunk becomes the max-plus matrix of its best paths, the matrices of a
-conversation are chained to fix the state at each chunk's borders, and each chunk is decoded between them. A
-task therefore holds the lines of one chunk, and six by seven numbers for each chunk of a conversation.
-
-Defined results: rows equal in conversation, turn, role and text are one; rows of one turn go by role and text;
-null turns come last; null conversation ids are one conversation; a null text is one empty line; a null or
-unknown role is no marker; an empty table gives an empty result; other columns are ignored.
+Transition and line probabilities are counted over all rows with a known role; turns that follow each other are counted
+by conversation, turn and role before they are paired. The rows are sorted by range, so that a conversation of any size
+spreads over partitions, and cut into chunks of CHUNK rows. A chunk becomes the max-plus matrix of its best paths; the
+matrices of a partition's part of a conversation are multiplied, the parts of a conversation are chained to fix the
+state at their borders, then the chunks of a part between its borders, and each chunk is decoded between its own. A task
+therefore holds the lines of one chunk, or six by seven numbers for each chunk of one partition, or for each partition.
+
+Defined results: rows equal in conversation, turn, role and text are one; rows of one turn go by role and a hash of the
+text; null turns come last; null conversation ids are one conversation; a null text is one empty line; a null or unknown
+role is no marker; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ CHUNK = 128
 STATES = 2 * len(ROLES)
 START = STATES
 FAR = 1 << 62
+#: A chunk's number holds the number of its partition above so many bits.
+PART_BITS = 33
 
 
 def feature_column(line: Column) -> Column:
@@ -93,6 +97,10 @@ class Model:
         #: [does the line start a row, state]
         self.row_start = np.log(np.array([[INSIDE, 1 - INSIDE] * roles, [1 - INSIDE, INSIDE] * roles]))
 
+        every = [self.emission(m, bool(starts), kind) for m in range(roles + 1) for starts in (0, 1) for kind in range(FEATURES)]
+        #: [code of a line, state]
+        self.by_code = np.array(every)
+
     def emission(self, marker: int, starts_row: bool, kind: int) -> np.ndarray:
         return self.marker[:, marker] + self.feature[:, kind] + self.row_start[int(starts_row)]
 
@@ -119,16 +127,22 @@ class Model:
         return out[::-1]
 
 
-def chain(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """The states before and at the end of each chunk on the best path through all of them."""
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The matrix of ``a``'s lines followed by those of ``b``."""
+    return (a[:, :, None] + b[None, :STATES]).max(axis=1)
+
+
+def chain(matrices: list[np.ndarray], entry: int = START, exit_: int | None = None) -> list[tuple[int, int]]:
+    """The states before and at the end of each part on the best path through all of them, from ``entry`` to ``exit_`` or
+    the best end."""
     best = np.full(STATES + 1, -np.inf)
-    best[START] = 0
+    best[entry] = 0
     back = []
     for m in matrices:
         through = best[:, None] + m
         back.append(through.argmax(axis=0))
         best = np.append(through.max(axis=0), -np.inf)
-    out, at = [], int(best.argmax())
+    out, at = [], int(best.argmax()) if exit_ is None else exit_
     for pointers in reversed(back):
         out.append((int(pointers[at]), at))
         at = int(pointers[at])
@@ -155,9 +169,13 @@ def train(rows: DataFrame) -> Model:
     for r, later, kind, n in lines.groupBy("r", (F.col("at") > 0).cast("int").alias("later"), feature_column(F.col("line")).alias("kind")).count().collect():
         counts[r, later, kind] = n
     follows = np.zeros((len(ROLES) + 1, len(ROLES)))
-    before = known.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("r").alias("before"))
-    pairs = known.select("conv_id", "turn", "r").join(before, ["conv_id", "turn"], "left")
-    for a, b, n in pairs.groupBy(F.coalesce("before", F.lit(len(ROLES))), "r").count().collect():
+    # A row after one of unknown role says nothing about what follows what; only rows after none begin a conversation.
+    unknown = F.lit(len(ROLES) + 1)
+    held = rows.withColumn("r", F.coalesce(known_role(F.col("role")), unknown)).groupBy("conv_id", "turn", "r")
+    held = written(held.agg(F.count("*").cast("double").alias("n")), "roles")
+    before = held.select("conv_id", F.expr("try_add(turn, 1)").alias("turn"), F.col("r").alias("before"), F.col("n").alias("m"))
+    pairs = held.where(F.col("r") != unknown).join(before, ["conv_id", "turn"], "left").where(F.coalesce("before", F.lit(0)) != unknown)
+    for a, b, n in pairs.groupBy(F.coalesce("before", F.lit(len(ROLES))), "r").agg(F.sum(F.col("n") * F.coalesce("m", F.lit(1.0)))).collect():
         follows[a, b] = n
     return Model(follows, counts)
 
@@ -186,39 +204,89 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2048) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
+def _chunks(chunk: int):
+    """Rows in order, without those equal to the one before, each with its partition, its chunk and its place there."""
+    schema = pa.schema([("conv_id", pa.int64()), ("pid", pa.int32()), ("chunk", pa.int64()), ("at", pa.int32()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            last, number, at = None, -1, 0
+            for batch in batches:
+                for pid, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if last == row:
+                        continue
+                    if last is None or last[0] != row[0] or at == chunk:
+                        number, at = number + 1, 0
+                    yield row[0], pid, (pid << PART_BITS) + number, at, *row[1:]
+                    last, at = row, at + 1
+
+        return _batched(rows(), schema, 512)
+
+    return run
+
+
 def parse_transcripts(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``conv_id, turn, part, role, opens, n_lines, rendered``: the parts of each row, in which a recovered turn
     begins (``opens``) or goes on. ``rendered`` in order of turn and part is the whole transcript."""
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    rows = written(rows.distinct(), "turns")
+    order = ["conv_id", F.coalesce("turn", F.lit(FAR)), "role", F.xxhash64("text")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select(F.spark_partition_id().alias("pid"), "*")
+    rows = written(rows.mapInArrow(_chunks(chunk), "conv_id long, pid int, chunk long, at int, turn long, role string, text string"), "turns")
     model = train(rows)
-    place = F.coalesce("turn", F.lit(FAR))
-    rows = rows.withColumn("chunk", F.floor(place / chunk).cast("long"))
-    key = ["conv_id", "chunk"]
-    matrix_schema = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("matrix", pa.list_(pa.float64()))])
-    border_schema = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("entry", pa.int32()), ("exit", pa.int32())])
-    out_schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("part", pa.int32()), ("role", pa.string()), ("opens", pa.bool_()), ("n_lines", pa.int32()), ("rendered", pa.string())])
+    long, matrix = pa.int64(), pa.list_(pa.float64())
+    shape = (STATES + 1, STATES)
 
-    def emissions(group: list[tuple], at: int) -> tuple[list, list]:
-        lines = [observed(row[at], row[at + 1]) for row in group]
-        return lines, [model.emission(*x[:3]) for row in lines for x in row]
+    def coded(batches):
+        def run():
+            for batch in batches:
+                for conv, pid, number, at, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield conv, pid, number, at, [(m * 2 + starts) * FEATURES + kind for m, starts, kind, _ in observed(role, text)]
+
+        return _batched(run(), pa.schema([("conv_id", long), ("pid", pa.int32()), ("chunk", long), ("at", pa.int32()), ("codes", pa.list_(pa.int32()))]))
 
     def matrices(batches):
-        return _batched(((*g[0][:2], model.matrix(emissions(g, 3)[1]).ravel().tolist()) for g in _runs(batches, 2)), matrix_schema)
+        found = ((g[0][1], g[0][2], g[0][0], model.matrix([model.by_code[c] for row in g for c in row[4]]).ravel().tolist()) for g in _runs(batches, 1))
+        return _batched(found, pa.schema([("conv_id", long), ("pid", pa.int32()), ("chunk", long), ("matrix", matrix)]))
 
-    def borders(batches):
+    def products(batches):
+        def run():
+            held, whole = None, None
+            for batch in batches:
+                for conv, pid, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    m = np.array(m).reshape(shape)
+                    if held == (conv, pid):
+                        whole = product(whole, m)
+                        continue
+                    if held is not None:
+                        yield *held, whole.ravel().tolist()
+                    held, whole = (conv, pid), m
+            if held is not None:
+                yield *held, whole.ravel().tolist()
+
+        return _batched(run(), pa.schema([("conv_id", long), ("pid", pa.int32()), ("matrix", matrix)]))
+
+    def part_borders(batches):
         def run():
             for g in _runs(batches, 1):
-                yield from ((*row[:2], *ends) for row, ends in zip(g, chain([np.array(row[2]).reshape(STATES + 1, STATES) for row in g]), strict=True))
+                yield from ((*row[:2], *ends) for row, ends in zip(g, chain([np.array(row[2]).reshape(shape) for row in g]), strict=True))
+
+        return _batched(run(), pa.schema([("conv_id", long), ("pid", pa.int32()), ("entry", pa.int32()), ("exit", pa.int32())]))
+
+    def chunk_borders(batches):
+        def run():
+            for g in _runs(batches, 4):
+                ends = chain([np.array(row[5]).reshape(shape) for row in g], g[0][2], g[0][3])
+                yield from ((row[4], *x) for row, x in zip(g, ends, strict=True))
 
-        return _batched(run(), border_schema)
+        return _batched(run(), pa.schema([("chunk", long), ("entry", pa.int32()), ("exit", pa.int32())]))
 
     def decode(batches):
         def run():
-            for g in _runs(batches, 2):
-                lines, scores = emissions(g, 5)
-                path = iter(model.path(scores, g[0][2], g[0][3]))
-                for row, row_lines in zip(g, lines, strict=True):
+            for g in _runs(batches, 1):
+                entry, exit_ = g[0][2:4]  # the borders stand before the rows
+                lines = [observed(row[6], row[7]) for row in g[1:]]
+                path = iter(model.path([model.emission(*x[:3]) for row in lines for x in row], entry, exit_))
+                for row, row_lines in zip(g[1:], lines, strict=True):
                     parts: list[tuple[int, list[str]]] = []
                     for line in row_lines:
                         state = next(path)
@@ -227,14 +295,21 @@ def parse_transcripts(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame
                         parts[-1][1].append(line[3])
                     for k, (state, text) in enumerate(parts):
                         opens = state % 2 == 0
-                        yield row[0], row[4], k, ROLES[state // 2], opens, len(text), (f"<|{ROLES[state // 2]}|>\n" if opens else "") + "\n".join(text) + "\n"
-
-        return _batched(run(), out_schema)
-
-    order = [*key, F.coalesce("turn", F.lit(FAR)), "role", "text"]
-    chunks = rows.select(*key, "turn", "role", "text").repartition(*key).sortWithinPartitions(*order)
-    chunks = chunks.mapInArrow(matrices, "conv_id long, chunk long, matrix array<double>")
-    ends = chunks.repartition("conv_id").sortWithinPartitions(*key).mapInArrow(borders, "conv_id long, chunk long, entry int, exit int")
-    same = F.col("r.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("r.chunk") == F.col("e.chunk"))
-    joined = rows.alias("r").join(ends.alias("e"), same).select("r.conv_id", "r.chunk", "entry", "exit", "turn", "role", "text")
-    return joined.repartition(*key).sortWithinPartitions(*order).mapInArrow(decode, "conv_id long, turn long, part int, role string, opens boolean, n_lines int, rendered string")
+                        yield row[4], row[5], k, ROLES[state // 2], opens, len(text), (f"<|{ROLES[state // 2]}|>\n" if opens else "") + "\n".join(text) + "\n"
+
+        return _batched(run(), pa.schema([("conv_id", long), ("turn", long), ("part", pa.int32()), ("role", pa.string()), ("opens", pa.bool_()), ("n_lines", pa.int32()), ("rendered", pa.string())]))
+
+    codes = rows.select("conv_id", "pid", "chunk", "at", "role", "text").mapInArrow(coded, "conv_id long, pid int, chunk long, at int, codes array<int>")
+    codes = codes.select("chunk", "conv_id", "pid", "at", "codes").repartition("chunk").sortWithinPartitions("chunk", "at")
+    chunks = written(codes.mapInArrow(matrices, "conv_id long, pid int, chunk long, matrix array<double>"), "matrices")
+    part = ["conv_id", "pid"]
+    parts = chunks.repartition(*part).sortWithinPartitions(*part, "chunk").select(*part, "matrix").mapInArrow(products, "conv_id long, pid int, matrix array<double>")
+    ends = parts.repartition("conv_id").sortWithinPartitions(*part).mapInArrow(part_borders, "conv_id long, pid int, entry int, exit int")
+    same = F.col("c.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("c.pid") == F.col("e.pid"))
+    both = chunks.alias("c").join(written(ends, "borders").alias("e"), same).select("c.conv_id", "c.pid", "entry", "exit", "chunk", "matrix")
+    ends = both.repartition(*part).sortWithinPartitions(*part, "chunk").mapInArrow(chunk_borders, "chunk long, entry int, exit int")
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    turns = rows.select("chunk", "at", *none("int", "entry", "exit"), "conv_id", "turn", "role", "text")
+    ends = ends.select("chunk", F.lit(-1).alias("at"), "entry", "exit", *none("long", "conv_id", "turn"), *none("string", "role", "text"))
+    met = turns.union(ends).repartition("chunk").sortWithinPartitions("chunk", "at")
+    return met.mapInArrow(decode, "conv_id long, turn long, part int, role string, opens boolean, n_lines int, rendered string")

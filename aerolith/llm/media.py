@@ -2,9 +2,11 @@
 
 ``store`` writes each text as an 8-bit greyscale PNG, 64 samples wide, into ZIP archives in the shared folder;
 the manifest of the archives is a committed Parquet table, so what a failed task attempt leaves behind is never
-read. ``MediaArchive`` plans byte ranges over those archives from their sizes alone, reads the members whose
-headers start in its range, streams them through Arrow in batches of bounded bytes, and retries a member on its
-own, by its offset, when a read falls short or its checksum is wrong.
+read. ``MediaArchive`` plans byte ranges over those archives from their sizes alone: a partition is a stretch of the
+manifest's rows with the bytes where it begins and ends, and there are at most ``PARTITIONS`` of them. A task opens each
+of its archives once, reads the members whose headers start in its range, streams them through Arrow in batches of
+bounded bytes, and retries a member on its own, by its offset, on a new handle when a read fails, falls short or gives a
+wrong checksum.
 
 Defined results: a null text is an empty payload of 64 zero bytes; null or repeated ``doc_id`` values are
 carried; an empty table gives an empty result; other columns are ignored.
@@ -34,6 +36,8 @@ from aerolith.llm.common import scratch
 WIDTH = 64
 ARCHIVE_BYTES = 64 << 20
 SPLIT_BYTES = 8 << 20
+#: Byte ranges grow beyond SPLIT_BYTES where there would be more partitions than this.
+PARTITIONS = 50_000
 BATCH_BYTES = 4 << 20
 ATTEMPTS = 4
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -90,7 +94,7 @@ def feature(payload: bytes) -> str:
     mean = total / n
     p = counts[counts > 0] / n
     changes = int(np.count_nonzero(x[1:] != x[:-1])) / max(n - 1, 1)
-    return f"mean={mean:.4f};sd={math.sqrt(max(squares / n - mean * mean, 0)):.4f};entropy={float(-(p * np.log2(p)).sum()):.4f};changes={changes:.4f}"
+    return f"mean={mean:.4f};sd={math.sqrt(max(squares / n - mean * mean, 0)):.4f};entropy={float(-(p * np.log2(p)).sum()) + 0.0:.4f};changes={changes:.4f}"
 
 
 def _write_archives(folder: str):
@@ -134,8 +138,10 @@ def store(docs: DataFrame) -> str:
 
 
 class ByteRange(InputPartition):
-    def __init__(self, archive: str, low: int, high: int) -> None:
-        self.archive, self.low, self.high = archive, low, high
+    """Rows ``first`` to ``last`` of a manifest file: the first archive from byte ``low``, the last up to ``high``."""
+
+    def __init__(self, manifest: str, first: int, last: int, low: int, high: int) -> None:
+        self.manifest, self.first, self.last, self.low, self.high = manifest, first, last, low, high
 
 
 class MediaArchive(DataSource):
@@ -152,59 +158,134 @@ class MediaArchive(DataSource):
         return ArchiveReader(self.options)
 
 
+SIZES = pa.schema([("archive", pa.string()), ("bytes", pa.int64())])
+MEMBERS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), MEMBERS.types, strict=True)], schema=MEMBERS)
+
+
+class Handle:
+    """An archive opened for reading at offsets; after a failure it is opened anew."""
+
+    def __init__(self, uri: str) -> None:
+        self.fs, self.path = pafs.FileSystem.from_uri(uri)
+        self.file = None
+
+    def __enter__(self) -> Handle:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.reopen()
+
+    def reopen(self) -> None:
+        """Close; the next read opens the archive again."""
+        if self.file is not None:
+            self.file.close()
+        self.file = None
+
+    def read(self, at: int, n: int) -> bytes:
+        self.file = self.file or self.fs.open_input_file(self.path)
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def members(self) -> list[zipfile.ZipInfo]:
+        """The directory of the archive; a failed read is tried again."""
+        for attempt in range(ATTEMPTS):
+            try:
+                self.file = self.file or self.fs.open_input_file(self.path)
+                with zipfile.ZipFile(_Kept(self.file)) as archive:
+                    return archive.infolist()
+            except (OSError, zipfile.BadZipFile) as e:
+                self.reopen()
+                if attempt + 1 == ATTEMPTS:
+                    raise OSError(f"{self.path}: {e}") from e
+        raise AssertionError
+
+
+class _Kept:
+    """A file for ``zipfile`` that stays open."""
+
+    def __init__(self, file) -> None:
+        self.read, self.seek, self.tell, self.seekable = file.read, file.seek, file.tell, lambda: True
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.manifest = options["manifest"]
         self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT_BYTES)))
 
     def partitions(self) -> list[ByteRange]:
-        """Byte ranges from the archives' sizes: the members are not listed on the driver."""
+        """Byte ranges from the archives' sizes, which are read as a stream: neither archives nor members are listed on
+        the driver, which keeps a row for each partition."""
         fs, root = pafs.FileSystem.from_uri(self.manifest)
-        found = []
-        for batch in pads.dataset(root, filesystem=fs, format="parquet", exclude_invalid_files=False, schema=pa.schema([("archive", pa.string()), ("bytes", pa.int64())])).to_batches():
-            for archive, size in zip(batch["archive"].to_pylist(), batch["bytes"].to_pylist(), strict=True):
-                found += [ByteRange(archive, at, min(at + self.split, size)) for at in range(0, size, self.split)]
-        return found or [ByteRange("", 0, 0)]
+        files = sorted(f.path for f in pads.dataset(root, filesystem=fs, format="parquet", exclude_invalid_files=False, schema=SIZES).get_fragments())
+
+        def sizes() -> Iterator[tuple[str, int, int]]:
+            for file in files:
+                row = 0
+                for batch in pads.dataset(file, filesystem=fs, format="parquet").to_batches(columns=["bytes"]):
+                    for size in batch.column(0).to_pylist():
+                        yield file, row, size
+                        row += 1
+
+        split = max(self.split, -(-sum(size for _, _, size in sizes()) // PARTITIONS))
+        found: list[ByteRange] = []
+        room = 0  # bytes that the last partition still takes
+        for file, row, size in sizes():
+            at = 0
+            if found and room > 0 and found[-1].manifest == file:
+                at = min(room, size)
+                found[-1].last, found[-1].high = row, at
+                room -= at
+            while at < size:
+                end = min(at + split, size)
+                found.append(ByteRange(file, row, row, at, end))
+                room, at = split - (end - at), end
+        return found or [ByteRange("", 0, -1, 0, 0)]
 
     @staticmethod
-    def _member(fs, path: str, info: zipfile.ZipInfo) -> bytes:
+    def _member(handle: Handle, info: zipfile.ZipInfo) -> bytes:
         """One member, read at its offset; only this member is read again after a failure."""
         for attempt in range(ATTEMPTS):
             try:
-                with fs.open_input_file(path) as f:
-                    f.seek(info.header_offset)
-                    head = f.read(30)
-                    if head[:4] != b"PK\x03\x04":
-                        raise OSError("no member starts here")
-                    name, extra = struct.unpack_from("<HH", head, 26)
-                    f.seek(info.header_offset + 30 + name + extra)
-                    data = f.read(info.compress_size)
+                head = handle.read(info.header_offset, 30)
+                if len(head) < 30 or head[:4] != b"PK\x03\x04":
+                    raise OSError("no member starts here")
+                name, extra = struct.unpack_from("<HH", head, 26)
+                data = handle.read(info.header_offset + 30 + name + extra, info.compress_size)
                 if len(data) != info.compress_size or zlib.crc32(data) != info.CRC:
                     raise OSError("damaged member")
                 return data
             except OSError as e:
+                handle.reopen()
                 if attempt + 1 == ATTEMPTS:
-                    raise OSError(f"{path}, offset {info.header_offset}: {e}") from e
+                    raise OSError(f"{handle.path}, offset {info.header_offset}: {e}") from e
         raise AssertionError
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-        if partition.high == 0:  # there is no archive
-            return
-        fs, path = pafs.FileSystem.from_uri(partition.archive)
-        with fs.open_input_file(path) as f, zipfile.ZipFile(f) as archive:
-            mine = [i for i in archive.infolist() if partition.low <= i.header_offset < partition.high]
         rows, held = [], 0
-        for info in mine:
-            data = self._member(fs, path, info)
-            _, doc_id, n = info.filename.removesuffix(".png").split("_")
-            rows.append((int(doc_id) if doc_id else None, int(n), data))
-            held += len(data)
-            if held >= BATCH_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                rows, held = [], 0
+        if partition.last < partition.first:  # there is no archive
+            return
+        fs, _ = pafs.FileSystem.from_uri(self.manifest)
+        table = pads.dataset(partition.manifest, filesystem=fs, format="parquet").to_table(columns=["archive", "bytes"])
+        mine = table.slice(partition.first, partition.last - partition.first + 1).to_pydict()
+        for k, (archive, size) in enumerate(zip(mine["archive"], mine["bytes"], strict=True), partition.first):
+            low = partition.low if k == partition.first else 0
+            high = partition.high if k == partition.last else size
+            with Handle(archive) as handle:
+                for info in handle.members():
+                    if low <= info.header_offset < high:
+                        data = self._member(handle, info)
+                        _, doc_id, n = info.filename.removesuffix(".png").split("_")
+                        rows.append((int(doc_id) if doc_id else None, int(n), data))
+                        held += len(data)
+                        if held >= BATCH_BYTES:
+                            yield _rows(rows)
+                            rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            yield _rows(rows)
 
 
 def read_media(spark: SparkSession, manifest: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:

@@ -33,8 +33,9 @@ from aerolith.llm.common import gapless, numbered
 SEQUENCE = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks whose ids a worker remembers.
-MEMORY = 400_000
+#: Bytes of remembered chunks and their ids in a worker, with what Python holds for each; longer chunks are tokenized
+#: anew each time.
+MEMORY_BYTES, ENTRY_BYTES, LONGEST = 48 << 20, 200, 64
 #: Texts beyond this character, or with any of these strings, are given to the tokenizer whole.
 LAST_PLAIN = 0x24F
 UNUSUAL = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
@@ -81,6 +82,7 @@ class Encoder:
         for token, rank in self.ranks.items():
             self.ids[rank], self.last[rank] = ids[rank], token.endswith(b"\n")
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def token_ranks(cls, merges: list, vocab: dict[str, int]) -> tuple[dict[bytes, int], dict[int, int]]:
@@ -107,8 +109,8 @@ class Encoder:
         """The ids from the tokenizer itself."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: list[str]) -> None:
-        """Tokenize chunks without white space and remember them."""
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks without white space."""
         words, ends, n = [], [], 0
         for c in chunks:
             low = c.lower()
@@ -119,19 +121,27 @@ class Encoder:
         ranks = np.array(self.merger.encode_ordinary("\n".join(words) + "\n" if words else ""), np.int64)
         closes = np.concatenate([[0], np.flatnonzero(self.last[ranks]) + 1])[np.concatenate([[0], ends])] * 4
         ids = self.ids[ranks].tobytes()
-        for c, a, b in zip(chunks, closes[:-1].tolist(), closes[1:].tolist(), strict=True):
-            self.known[c] = ids[a:b]
+        return [ids[a:b] for a, b in zip(closes[:-1].tolist(), closes[1:].tolist(), strict=True)]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, without the end id."""
         if not plain(text):
             return self.whole(text)
         chunks = text.split()
-        if len(self.known) > MEMORY:
+        if self.held > MEMORY_BYTES:
             self.known.clear()
+            self.held = 0
+        once: dict[str, bytes] = {}
         if new := list(set(chunks).difference(self.known)):
-            self.learn(new)
-        return b"".join(map(self.known.__getitem__, chunks))
+            for c, ids in zip(new, self.learn(new), strict=True):
+                if len(c) <= LONGEST:
+                    self.known[c] = ids
+                    self.held += len(c) + len(ids) + ENTRY_BYTES
+                else:
+                    once[c] = ids
+        if not once:
+            return b"".join(map(self.known.__getitem__, chunks))
+        return b"".join([self.known[c] if len(c) <= LONGEST else once[c] for c in chunks])
 
 
 _ENCODERS: dict[str, Encoder] = {}

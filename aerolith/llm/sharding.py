@@ -3,8 +3,9 @@
 Groups of equal texts are sized and counted by size class. The classes, largest first, enter the bin with the
 tightest remaining capacity that takes them; the bins stand in a balanced search tree. Only the histogram of
 size classes reaches the driver: sizes below 1024 are a class each, larger ones are rounded up to eleven
-significant bits, so there are at most 1024 * 54 classes whatever the data. Groups find their bin again by
-their rank within the class.
+significant bits, so there are at most 1024 * 54 classes whatever the data. Within a class groups count as equal, each
+as the largest size of the class: a bin is never overfull, and at most one part in 1024 of it stays empty for that
+reason. Groups find their bin again by their rank within the class.
 
 Defined results: a null text counts as the empty one (size 1, CRC 0); null or repeated ``doc_id`` values are
 carried as they are; repeated rows stay together, being equal texts; an empty table gives an empty result;
@@ -23,6 +24,8 @@ from aerolith.llm.common import gapless, numbered
 SHARDS = 8
 #: Sizes keep this many bits below the leading one.
 CLASS_BITS = 10
+#: Ranks of a class in which its groups meet their runs, and stretches of a run made at a time.
+STRETCH, STEP = 64, 1 << 16
 
 
 class CapacityTree:
@@ -131,9 +134,19 @@ def shard_groups(groups: DataFrame, size: str, shards: int = SHARDS, capacity: i
     histogram = [(r[0], r[1]) for r in groups.groupBy("__class").count().collect()]
     runs = best_fit_decreasing(histogram, capacity)[0] if capacity else fit_into(histogram, shards)
     plan = spark.createDataFrame(runs, "__class long, __low long, __high long, shard int")
-    # The plan has at most one run for each class and one more for each bin.
-    ranked = gapless(groups, "__class", "__rank").join(F.broadcast(plan) if not capacity else plan, "__class").where("__rank >= __low and __rank < __high")
-    return ranked.drop("__class", "__rank", "__low", "__high", "__pid", "__seq")
+    ranked = gapless(groups, "__class", "__rank")
+    if not capacity:
+        # A class visits a bin at most once: the plan has at most 1024 * 54 classes times ``shards`` rows.
+        placed = ranked.join(F.broadcast(plan), "__class")
+    else:
+        # Groups and runs meet in stretches of STRETCH ranks; a run goes to each stretch that it touches (taken in two
+        # steps, so that no array grows with it). So a group meets at most STRETCH runs, however many its class has.
+        low, high = F.floor(F.col("__low") / STRETCH), F.floor((F.col("__high") - 1) / STRETCH)
+        plan = plan.withColumn("__from", F.explode(F.sequence(low, high, F.lit(STEP).cast("long"))))
+        plan = plan.withColumn("__stretch", F.explode(F.sequence(F.col("__from"), F.least(high, F.col("__from") + STEP - 1)))).drop("__from")
+        placed = ranked.withColumn("__stretch", F.floor(F.col("__rank") / STRETCH)).join(plan, ["__class", "__stretch"]).drop("__stretch")
+    placed = placed.where("__rank >= __low and __rank < __high")
+    return placed.drop("__class", "__rank", "__low", "__high", "__pid", "__seq")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -34,6 +34,17 @@ def test_ids_equal_the_tokenizer(tokenizer, encoder, text):
     assert ids(encoder, text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_what_a_worker_remembers_is_bounded(tokenizer, monkeypatch):
+    encoder = packing.Encoder(packing.tokenizer_path())
+    monkeypatch.setattr(packing, "MEMORY_BYTES", 50_000)
+    rng = np.random.default_rng(1)
+    for k in range(30):
+        text = " ".join(["x" * 3000 + str(k)] + ["".join(map(chr, rng.integers(97, 123, rng.integers(1, 90)))) for _ in range(40)])
+        assert ids(encoder, text) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert max(map(len, encoder.known), default=0) <= packing.LONGEST
+        assert sum(len(c) + len(v) + packing.ENTRY_BYTES for c, v in encoder.known.items()) == encoder.held < 50_000 + 40 * 600
+
+
 def test_special_strings(tokenizer, encoder):
     for text in ("a <|endoftext|> b", "it's we'll I'M don't 'twas l'été", "ΣΑΣ Straße ﬁ é é", "", " \n"):
         assert ids(encoder, text) == tokenizer.encode(text, add_special_tokens=False).ids

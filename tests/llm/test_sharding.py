@@ -1,10 +1,11 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from aerolith.llm import queries
+from aerolith.llm import queries, sharding
 from aerolith.llm.sharding import CapacityTree, best_fit_decreasing, fit_into, shard_documents
 from tests.conftest import SF
 
@@ -71,3 +72,16 @@ def test_query_on_documents(spark):
     for r in rows:
         loads[r.shard] += r.size
     assert sorted(loads) == list(range(8)) and max(loads.values()) <= 1.01 * max(sum(loads.values()) / 8, max(r.size for r in rows))
+
+
+def test_groups_of_one_size_into_many_bins(spark):
+    """A class that visits many bins: every group gets its one bin, no bin is overfull, and each is used."""
+    groups = spark.range(5000).select("id", F.lit(1000).alias("size")).union(spark.range(9000, 9100).select("id", F.lit(300).alias("size")))
+    rows = sharding.shard_groups(groups, "size", capacity=7300).collect()
+    assert len(rows) == 5100 and len({r.id for r in rows}) == 5100
+    load = Counter()
+    for r in rows:
+        load[r.shard] += r.size
+    assert max(load.values()) <= 7300 and len(load) == 715
+    one = sharding.shard_groups(groups, "size", capacity=1 << 40).collect()
+    assert {r.shard for r in one} == {0} and len(one) == 5100
