@@ -12,8 +12,14 @@ are consecutive; the bytes they cover are its span.
    ends only, with the length of the match across each run border; copies add to runs, hardly to their number.
    Matching statistics stream through the text from those samples, falling by one for each byte until the next
    sample lifts them; a window with a statistic of 200 or more occurs elsewhere.
-3. Spans of one gram that are too many for a block are dealt over several blocks; the windows of such grams are
-   also counted by digest across blocks, so that no match between blocks is lost.
+3. Spans of one gram that are too many for a block are cut by where the gram stands in their windows, into ``SLOTS``
+   stretches of offsets. Equal windows have the gram at one offset, so within a stretch they also agree in the bytes
+   right before and after the gram that all its windows hold: the pieces go to blocks by these bytes and are indexed
+   there. Only where even such a block is too large are its windows, then nearly the same, counted by digest.
+
+Documents are stored once in order of a row number. What is known of them (wanted spans, marks) is stored beside them
+in order of that number too; a task merges the two as it reads, so texts are never shuffled and a side file is read
+once for each part of the documents.
 
 Defined results: a null text counts as empty; texts under 200 bytes are kept as they are; null or repeated
 ``doc_id`` values are carried; repeated rows remove each other; an empty table gives an empty result; other
@@ -27,8 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as pads
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +51,8 @@ UNIT = 1 << (POSITION_BITS - 1)
 BLOCK_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-#: A row number holds the number of its partition above so many bits.
-PART_BITS = 33
+#: Stretches of gram offsets into which the spans of a gram are cut that fill more than a block.
+SLOTS = 6
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -80,9 +86,9 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def owners(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For the texts that stand one after another in ``data`` and end at ``ends``: the gram hash and the first
-    and last window start of each run of windows with one minimizer."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """For the texts that stand one after another in ``data`` and end at ``ends``: the gram hash, the first and last
+    window start of each run of windows with one minimizer, and the minimizer's place."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(data) < length:
         return none
     h = gram_hashes(data, gram)
@@ -107,7 +113,7 @@ def owners(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[
     new = np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(at)]]) - 1
-    return h[place[first]], at[first], at[last]
+    return h[place[first]], at[first], at[last], place[first]
 
 
 def _units(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
@@ -129,7 +135,7 @@ def _units(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nda
         yield np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), where
 
 
-SPANS = "row long, start int, width int, gram long, digest long"
+SPANS = "row long, start int, width int, at int, gram long, digest long"
 
 
 def _spans(length: int, gram: int):
@@ -141,15 +147,15 @@ def _spans(length: int, gram: int):
                 part = batch.slice(cut, 256)
                 ids, texts = part.column(0), part.column(1).to_pylist()
                 for data, ends, where in _units(texts, length):
-                    grams, first, last = owners(data, ends, length, gram)
+                    grams, first, last, place = owners(data, ends, length, gram)
                     buffer = data.tobytes()
                     digests = np.fromiter((xxhash.xxh3_64_intdigest(buffer[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
                     piece = np.searchsorted(ends, first, side="right")
                     begins = np.concatenate([[0], ends[:-1]])
                     text = np.array([k for k, _ in where])[piece]
                     start = first - begins[piece] + np.array([lo for _, lo in where])[piece]
-                    columns = [ids.take(pa.array(text)), pa.array(start, pa.int32()), pa.array(last - first, pa.int32()), pa.array(grams.view(np.int64)), pa.array(digests.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["row", "start", "width", "gram", "digest"])
+                    columns = [ids.take(pa.array(text)), pa.array(start, pa.int32()), pa.array(last - first, pa.int32()), pa.array(place - first, pa.int32()), pa.array(grams.view(np.int64)), pa.array(digests.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "start", "width", "at", "gram", "digest"])
 
     return run
 
@@ -227,48 +233,109 @@ def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.concatenate([cut, [len(starts) - 1]])].tolist(), strict=True)
 
 
-def _beside(path: str, rows: pa.Array) -> dict[int, list[tuple]]:
-    """The rows of the side table at ``path`` that belong to the documents ``rows``. The table lies in a folder for
-    each partition of the stored documents, so texts and what is known of them meet without a shuffle of texts."""
-    fs, root = pafs.FileSystem.from_uri(path)
-    found: dict[int, list[tuple]] = {}
-    numbers = rows.to_numpy()
-    for part in np.unique(numbers >> PART_BITS).tolist():
-        folder = f"{root}/part={part}"
-        if fs.get_file_info(folder).type == pafs.FileType.NotFound:
-            continue
-        mine = numbers[numbers >> PART_BITS == part]
-        table = pads.dataset(folder, filesystem=fs, format="parquet").to_table(filter=(pads.field("row") >= int(mine.min())) & (pads.field("row") <= int(mine.max())))
-        at = table.schema.get_field_index("row")
-        for record in zip(*(c.to_pylist() for c in table.columns), strict=True):
-            found.setdefault(record[at], []).append(record[:at] + record[at + 1 :])
-    return found
+class Beside:
+    """A side table in files sorted by ``row``, read along with rows that mostly ascend. ``files`` has the URI, the
+    lowest and the highest row of each; a row below the one before makes it look for its place anew."""
+
+    def __init__(self, files: list[tuple[str, int, int]]) -> None:
+        self.files, self.before, self.batches, self.rows, self.columns = files, None, iter(()), np.zeros(0, np.int64), []
+
+    def _batches(self, row: int) -> Iterator[pa.RecordBatch]:
+        for uri, _, high in self.files:
+            if high >= row:
+                fs, path = pafs.FileSystem.from_uri(uri)
+                with fs.open_input_file(path) as f, pq.ParquetFile(f) as file:
+                    at = file.schema_arrow.get_field_index("row")
+                    useful = [g for g in range(file.num_row_groups) if (s := file.metadata.row_group(g).column(at).statistics) is None or not s.has_min_max or s.max >= row]
+                    yield from file.iter_batches(1 << 15, row_groups=useful)
+
+    def _next(self) -> bool:
+        batch = next(self.batches, None)
+        if batch is None:
+            self.rows = np.zeros(0, np.int64)
+            return False
+        self.rows = batch.column("row").to_numpy()
+        self.columns = [batch.column(c) for c in batch.schema.names if c != "row"]
+        return True
+
+    def get(self, row: int) -> list[tuple]:
+        """The records of a row, without the row."""
+        if self.before is None or row < self.before or not len(self.rows) or self.rows[-1] + (1 << 20) < row:
+            self.batches = self._batches(row)
+            self._next()
+        self.before, found = row, []
+        while len(self.rows):
+            low, high = np.searchsorted(self.rows, row), np.searchsorted(self.rows, row, side="right")
+            if low < high:
+                found += zip(*(c.slice(low, high - low).to_pylist() for c in self.columns), strict=True)
+            if high < len(self.rows) or not self._next():
+                break
+        return found
 
 
-def _write_beside(table: DataFrame, name: str) -> str:
-    """Write a side table (with ``row``) by partition of the stored documents; its path."""
+def _write_beside(table: DataFrame, name: str) -> list[tuple[str, int, int]]:
+    """Write a side table (with ``row``) for ``Beside``; its files with their lowest and highest rows, of which there
+    are as many as shuffle partitions."""
     path = scratch(table.sparkSession, name)
-    parts = table.withColumn("part", F.shiftright("row", PART_BITS))
-    parts.repartition("part").sortWithinPartitions("part", "row").write.option("compression", "zstd").partitionBy("part").parquet(path)
-    return path
+    table.repartitionByRange("row").sortWithinPartitions("row").write.option("compression", "zstd").parquet(path)
+    stored = table.sparkSession.read.schema("row long").parquet(path)
+    files = stored.groupBy(F.input_file_name().alias("file")).agg(F.min("row").alias("low"), F.max("row").alias("high"))
+    return sorted(((r.file, r.low, r.high) for r in files.collect()), key=lambda x: x[1:])
+
+
+SLICES = "gram long, digest long, copies int, at int, width int, hot boolean, span binary"
+
+
+def _slices(files: list[tuple[str, int, int]], length: int):
+    """The wanted spans' bytes, from rows (row, text as bytes) and the side table (start, width, at, gram, digest,
+    copies, hot)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = Beside(files)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part, out = batch.slice(lo, 512), []
+                for row, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    spans = wanted.get(row)
+                    if spans:
+                        text = text.as_py()
+                        out += [(gram, digest, copies, at, width, hot, text[start : start + width + length]) for start, width, at, gram, digest, copies, hot in spans]
+                columns = zip(*out, strict=True) if out else [[]] * 7
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "digest", "copies", "at", "width", "hot", "span"])
+
+    return run
+
+
+PIECES = "cell long, gram long, digest long, copies int, base int, span binary"
+_PIECE_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
 
-SLICES = "gram long, digest long, copies int, cells int, start int, span binary"
+def pieces_of(span: bytes, at: int, width: int, length: int, gram: int) -> Iterator[tuple[bytes, int, bytes]]:
+    """For each stretch of gram offsets the bytes that its windows share, its first window and the bytes of its windows.
+    The windows of ``span`` start at 0 to ``width``; the one at i has the gram at offset ``at`` - i."""
+    offsets = length - gram + 1
+    for k in range(SLOTS):
+        low, high = offsets * k // SLOTS, offsets * (k + 1) // SLOTS  # offsets low to high - 1
+        first, last = max(0, at - high + 1), min(width, at - low)
+        if first <= last:
+            shared = span[at - low : at + gram + length - gram - (high - 1)]
+            yield bytes([k]) + shared, first, span[first : last + length]
 
 
-def _slices(path: str, length: int):
-    """The wanted spans' bytes, from rows (row, text as bytes) and the side table (start, width, gram, digest, copies, cells)."""
+def _cut_pieces(length: int, gram: int):
+    """Rows of ``PIECES`` from rows (gram, digest, copies, at, width, span)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                wanted, out = _beside(path, part.column(0)), []
-                for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    out += [(gram, digest, copies, cells, start, text[start : start + width + length]) for start, width, gram, digest, copies, cells in wanted.get(row, ())]
+                out = []
+                for g, digest, copies, at, width, span in zip(*(c.to_pylist() for c in batch.slice(lo, 512).columns), strict=True):
+                    for shared, base, piece in pieces_of(span, at, width, length, gram):
+                        cell = xxhash.xxh3_64_intdigest(shared, g & 0xFFFFFFFFFFFFFFFF)
+                        out.append((cell - (1 << 64) if cell >> 63 else cell, g, digest, copies, base, piece))
                 columns = zip(*out, strict=True) if out else [[]] * 6
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "digest", "copies", "cells", "start", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PIECE_TYPES, strict=True)], names=["cell", "gram", "digest", "copies", "base", "span"])
 
     return run
 
@@ -277,19 +344,19 @@ FOUND = "gram long, digest long, first int, last int"
 
 
 def _match_blocks(length: int, block_bytes: int):
-    """Rows of ``FOUND`` (first and last repeated window of a span, counted from its start) from rows (cell, gram,
-    digest, copies, span) that come sorted by cell; cells fill blocks one after another."""
+    """Rows of ``FOUND`` (first and last repeated window of a span, counted from its start) from rows of ``PIECES`` that
+    come sorted by cell; cells fill blocks one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def match() -> pa.RecordBatch:
-            strings = [r[4] for r in held] + [r[4] for r in held if r[3] > 1]
+            strings = [r[5] for r in held] + [r[5] for r in held if r[3] > 1]
             rows = []
             if len(strings) > 1:
-                for (_, gram, digest, *_), found in zip(held, repeated_windows(strings, length), strict=False):
-                    rows += [(gram, digest, a, b) for a, b in _runs(found)]
+                for (_, gram, digest, _, base, _), found in zip(held, repeated_windows(strings, length), strict=False):
+                    rows += [(gram, digest, base + a, base + b) for a, b in _runs(found)]
             columns = zip(*rows, strict=True) if rows else [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["gram", "digest", "first", "last"])
 
@@ -299,20 +366,20 @@ def _match_blocks(length: int, block_bytes: int):
                     yield match()
                     held, size = [], 0
                 held.append(row)
-                size += row[3] * (len(row[4]) + 1)
+                size += row[3] * (len(row[5]) + 1)
         yield match()
 
     return run
 
 
 def _windows(length: int):
-    """A row (gram, digest, at, copies, window digest) for each window of the spans in rows (gram, digest, copies, span)."""
+    """A row (gram, digest, at, copies, window digest) for each window in rows (gram, digest, copies, base, span)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in range(0, batch.num_rows, 512):
                 columns = (c.to_pylist() for c in batch.slice(cut, 512).columns)
-                rows = [(g, d, o, n, xxhash.xxh3_128_digest(t[o : o + length])) for g, d, n, t in zip(*columns, strict=True) for o in range(len(t) - length + 1)]
+                rows = [(g, d, base + o, n, xxhash.xxh3_128_digest(t[o : o + length])) for g, d, n, base, t in zip(*columns, strict=True) for o in range(len(t) - length + 1)]
                 columns = zip(*rows, strict=True) if rows else [[]] * 5
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "digest", "at", "copies", "window"])
@@ -323,17 +390,17 @@ def _windows(length: int):
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _cut(path: str, length: int):
+def _cut(files: list[tuple[str, int, int]], length: int):
     """Result rows from rows (doc_id, row, text as bytes) and the side table of marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Beside(files)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part, rows = batch.slice(lo, 512), []
-                marks = _beside(path, part.column(1))
                 for doc_id, row, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     kept, at, removed, spans, end = [], 0, 0, 0, -1
-                    for a, last in sorted(marks.get(row, ())):
+                    for a, last in sorted(marks.get(row)):
                         b = last + length
                         if a > end:
                             kept.append(text[at:a])
@@ -357,21 +424,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     # Written before and after the join, so that nothing binds its sides and hot grams can be split.
     often = written(spans.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "often")
     spans = written(spans.join(often, "gram"), "repeated")
-    kind, place = ["gram", "digest"], F.struct("row", "start", "width")
+    kind, place = ["gram", "digest"], F.struct("row", "start", "width", "at")
     distinct = written(spans.groupBy(*kind).agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"), F.min(place).alias("one")), "distinct")
 
-    # Spans of a gram that fills several blocks are dealt over as many cells.
+    # Spans of a gram that fills more than a block are hot.
     volume = distinct.groupBy("gram").agg(F.sum((F.col("one.width") + length + 1) * F.col("copies")).alias("bytes"))
-    wanted = distinct.join(written(volume, "volume"), "gram").select("one.row", "one.start", "one.width", *kind, "copies", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("cells"))
+    wanted = distinct.join(written(volume, "volume"), "gram").select("one.row", "one.start", "one.width", "one.at", *kind, "copies", (F.col("bytes") > block_bytes).alias("hot"))
     slices = written(rows.select("row", "text").mapInArrow(_slices(_write_beside(wanted, "wanted"), length), SLICES), "slices")
-    cell = F.xxhash64("gram", F.pmod(F.col("digest"), F.col("cells")))
-    dealt = slices.select(cell.alias("cell"), *kind, "copies", "span").repartition("cell").sortWithinPartitions("cell")
-    found = dealt.mapInArrow(_match_blocks(length, block_bytes), FOUND)
-
-    # The windows of such grams meet again by digest.
-    windows = written(slices.where("cells > 1").select(*kind, "copies", "span").mapInArrow(_windows(length), "gram long, digest long, at int, copies int, window binary"), "windows")
-    again = written(windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window"), "again")
-    found = found.union(windows.join(again, "window", "left_semi").select(*kind, F.col("at").alias("first"), F.col("at").alias("last")))
+    piece = ["cell", *kind, "copies", "base", "span"]
+    pieces = slices.where("NOT hot").select(F.xxhash64("gram").alias("cell"), *kind, "copies", F.lit(0).alias("base"), "span")
+    hot = slices.where("hot")
+    digests = []
+    if not hot.isEmpty():
+        cut = written(hot.select(*kind, "copies", "at", "width", "span").mapInArrow(_cut_pieces(length, gram), PIECES), "pieces")
+        over = written(cut.groupBy("cell").agg(F.sum((F.octet_length("span") + 1) * F.col("copies")).alias("bytes")).where(F.col("bytes") > block_bytes).select("cell"), "over")
+        pieces = pieces.union(cut.join(over, "cell", "left_anti").select(*piece))
+        # The windows of cells that are too large even so meet again by digest.
+        windows = cut.join(over, "cell", "left_semi").select(*kind, "copies", "base", "span").mapInArrow(_windows(length), "gram long, digest long, at int, copies int, window binary")
+        windows = written(windows, "windows")
+        again = written(windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window"), "again")
+        digests = [windows.join(again, "window", "left_semi").select(*kind, F.col("at").alias("first"), F.col("at").alias("last"))]
+    found = pieces.select(*piece).repartition("cell").sortWithinPartitions("cell").mapInArrow(_match_blocks(length, block_bytes), FOUND)
+    for more in digests:
+        found = found.union(more)
 
     # Every copy of a span has the result of its group.
     marks = spans.join(written(found, "found"), kind).select("row", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))

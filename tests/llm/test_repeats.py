@@ -89,3 +89,43 @@ def test_run_index():
 
 def test_empty(make_docs):
     assert repeats.remove_repeats(make_docs([])).count() == 0
+
+
+def test_hot_grams_come_through_the_index(make_docs, monkeypatch):
+    """A phrase in many contexts, some of them shared, fills more than a block, but no cell of its pieces does."""
+
+    def none(length):
+        def run(batches):
+            for batch in batches:
+                assert not batch.num_rows
+            return iter(())
+
+        return run
+
+    monkeypatch.setattr(repeats, "_windows", none)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    phrase, rows = "the very same phrase of all", []
+    shared = [(noise(50), noise(50)) for _ in range(12)]
+    for i in range(150):
+        before, after = (noise(50), noise(50)) if i % 3 else shared[rng.randrange(12)]
+        cut = rng.randrange(50) if i % 5 == 0 else 0
+        rows.append((i, noise(40) + before[cut:] + phrase + after[: 50 - cut] + noise(40)))
+    assert sum(len(t) for _, t in rows) > 10_000
+    assert got(repeats.remove_repeats(make_docs(rows), 60, 24, 4000)) == brute(rows, 60)
+
+
+def test_side_rows_in_any_order(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(50) * (1 << 33) + rng.randrange(300), k) for k in range(5000)]
+    files = repeats._write_beside(spark.createDataFrame(rows, "row long, k int").repartition(4), "side")
+    assert len(files) > 1
+    want = defaultdict(list)
+    for row, k in rows:
+        want[row].append((k,))
+    beside = repeats.Beside(files)
+    ascending = sorted(want) + [7 * (1 << 33) + 299 + i for i in range(3)]
+    for order in (sorted(ascending), rng.sample(ascending, 200), sorted(want)[1000:2000], [0, 1, 2, 0]):
+        for row in order:
+            assert sorted(beside.get(row)) == sorted(want.get(row, []))
+    assert repeats.Beside([]).get(5) == []
