@@ -277,7 +277,8 @@ def _write_beside(table: DataFrame, name: str) -> list[tuple[str, int, int]]:
     """Write a side table (with ``row``) for ``Beside``; its files with their lowest and highest rows, of which there
     are as many as shuffle partitions."""
     path = scratch(table.sparkSession, name)
-    table.repartitionByRange("row").sortWithinPartitions("row").write.option("compression", "zstd").parquet(path)
+    # Small row groups, so that a task skips most of a file that it shares with others.
+    table.repartitionByRange("row").sortWithinPartitions("row").write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(path)
     stored = table.sparkSession.read.schema("row long").parquet(path)
     files = stored.groupBy(F.input_file_name().alias("file")).agg(F.min("row").alias("low"), F.max("row").alias("high"))
     return sorted(((r.file, r.low, r.high) for r in files.collect()), key=lambda x: x[1:])
