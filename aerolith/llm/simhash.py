@@ -12,7 +12,7 @@ contracted over written tables.
   agree on B - 4 of B bit blocks at least, so each distinct fingerprint goes to the buckets of all choices of that many
   blocks; B grows with their number, so that a bucket's key keeps about as many bits as the number has.
 * ``keep_one`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such sets share
-  one of ``BANDS`` hashes of ``BAND_ROWS`` minima (missed with a probability of 2.5e-7 at 0.8, computed for independent
+  one of ``BANDS`` hashes of ``BAND_ROWS`` minima (missed with a probability of 7e-6 at 0.8, computed for independent
   minima); mates in a band whose fingerprints (128 bits) are within ``WIDE`` bits are of one family (at 0.8 a pair's
   distance is near 19, with a deviation of 4). Inside a family, dealt over pairs of tiles of bounded bytes, the exact
   similarity of all pairs within that radius decides.
@@ -54,7 +54,7 @@ HELD_ROWS = 1 << 13
 #: shingle hashes in a tile.
 PIPELINE_WORDS = 5
 ALIKE = (4, 5)
-BANDS, BAND_ROWS = 50, 6
+BANDS, BAND_ROWS = 30, 5
 WIDE = 44
 TILE_BYTES = 16 << 20
 _RNG = np.random.default_rng(11)
@@ -448,9 +448,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def resembling(sketches: DataFrame, texts: DataFrame, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """``(node, root)`` of the rows that are alike. ``sketches`` has ``id, n, lo, hi, bands`` with a row for each
     different text, ``texts`` has ``id, text`` as bytes; both are written tables."""
-    rows = sketches.select("id", "n", "lo", "hi", F.explode("bands").alias("bucket"))
+    rows = sketches.select("id", F.explode("bands").alias("bucket"))
     mates = written(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", _tiles(F.col("m") / tile)), "bands")
-    close = _met(_dealt(rows, mates), "n", "lo", "hi").mapInArrow(_forests(WIDE, ["lo", "hi"], "n"), "a long, b long")
+    # Fingerprints join the rows only once those without a mate are gone.
+    mates = _dealt(rows, mates).join(sketches.select("id", "n", "lo", "hi"), "id")
+    close = _met(mates, "n", "lo", "hi").mapInArrow(_forests(WIDE, ["lo", "hi"], "n"), "a long, b long")
     family = written(components(close, "families").select(F.col("node").alias("id"), F.col("root").alias("bucket")), "families")
     member = texts.join(family, "id").select("id", "bucket", "text").mapInArrow(_sets, "id long, bucket long, lo long, hi long, set binary")
     member = written(member, "sets")
