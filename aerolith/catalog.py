@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from aerolith.config import DEFAULT
 from aerolith.functions import geo, mat, polygon, raster
-from aerolith.operators import adjust, matching, mosaic, neighbours, ranges, tracks, triangulate
+from aerolith.operators import adjust, matching, mosaic, neighbours, ranges, tracks, triangulate, weakest
 from aerolith.operators import features as feats
-from aerolith.runtime import ordered_ids
+from aerolith.runtime import ordered_ids, written
 from aerolith.sources import fixtures, images
 from aerolith.sources.fixtures import observations, observations_sql, view, view_sql
 
@@ -382,11 +382,56 @@ def track_conflicts(spark, sf_dir):
     return tracks.conflicts(tracks.tracks(_edges(spark, sf_dir)), IMAGE_OF)
 
 
-@query()
+#: In every round each edge joins its clusters that comes first, among the edges between clusters without a common image,
+#: at both of them. An edge whose clusters share an image never comes back, as clusters only grow.
+JOINED = f"""RECURSIVE {EDGES},
+pt AS (SELECT DISTINCT node, CAST(floor(node / 1000) AS BIGINT) AS image FROM (SELECT a AS node FROM ew UNION ALL SELECT b FROM ew) n),
+cl(node, cluster, image) USING KEY (node) AS (SELECT node, node, image FROM pt UNION (
+  WITH op AS (SELECT x.cluster AS p, y.cluster AS q, ew.a, ew.b, score FROM ew JOIN recurring.cl x ON x.node = ew.a JOIN recurring.cl y ON y.node = ew.b WHERE x.cluster <> y.cluster),
+  sh AS (SELECT DISTINCT p, q FROM (SELECT DISTINCT p, q FROM op) d JOIN recurring.cl x ON x.cluster = p JOIN recurring.cl y ON y.cluster = q AND y.image = x.image),
+  fr AS (SELECT op.* FROM op LEFT JOIN sh ON sh.p = op.p AND sh.q = op.q WHERE sh.p IS NULL),
+  fi AS (SELECT c, min(e) AS e FROM (SELECT p AS c, struct_pack(s := -score, a := a, b := b) AS e FROM fr UNION ALL SELECT q, struct_pack(s := -score, a := a, b := b) FROM fr) z GROUP BY c),
+  mv AS (SELECT greatest(p, q) AS old, least(p, q) AS new FROM fr JOIN fi u ON u.c = p AND u.e = struct_pack(s := -score, a := a, b := b) JOIN fi v ON v.c = q AND v.e = struct_pack(s := -score, a := a, b := b))
+  SELECT k.node, mv.new, k.image FROM recurring.cl k JOIN mv ON mv.old = k.cluster))"""
+
+
+@query(f"WITH {JOINED} SELECT min(node) OVER (PARTITION BY cluster) AS track_id, node FROM cl")
 def tracks_conflict_free(spark, sf_dir):
     return tracks.conflict_free_tracks(_edges(spark, sf_dir), IMAGE_OF)
 
 
+@query(f"WITH {JOINED} SELECT min(node) OVER (PARTITION BY cluster) AS track_id, node FROM cl")
+def tracks_conflict_free_rounds(spark, sf_dir):
+    """The distributed rounds, which components beyond a task's size take."""
+    return tracks.conflict_free_tracks(_edges(spark, sf_dir), IMAGE_OF, task_edges=0)
+
+
+#: Small graphs, one or more for each order; points of one image have equal remainders by three.
+SMALL = f"""RECURSIVE ol AS ({view_sql("order_links")}),
+se AS (SELECT a, b, max(score) AS score FROM ol GROUP BY a, b),
+sy AS (SELECT a, b, a AS lo, b AS hi, score FROM se UNION ALL SELECT b, a, a, b, score FROM se),
+pa(s, t, seen, low) AS (SELECT a, b, [a, b], struct_pack(v := score, a := lo, b := hi) FROM sy
+  UNION ALL SELECT s, sy.b, list_append(seen, sy.b), least(low, struct_pack(v := score, a := lo, b := hi)) FROM pa JOIN sy ON sy.a = pa.t WHERE NOT list_contains(seen, sy.b))"""
+
+
+def _order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.edge_weights(view(spark, sf_dir, "order_links"))
+
+
+@query(f"WITH {SMALL} SELECT s, t, low.a AS a, low.b AS b, low.v AS score FROM (SELECT s, t, min(low) AS low FROM pa WHERE s < t AND s % 3 = t % 3 GROUP BY s, t) m")
+def track_weakest_edges(spark, sf_dir):
+    """For each two points of one image in a graph the weakest edge on any simple path between them."""
+    edges = written(_order_edges(spark, sf_dir), "orders")
+    points = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.floor(F.col("node") / 8).alias("g"), (F.col("node") % 3).alias("image"))
+    pairs = points.select(F.col("node").alias("s"), "g", "image").join(points.select(F.col("node").alias("t"), "g", "image"), ["g", "image"]).where("s < t")
+    return weakest.weakest_between(edges, pairs)
+
+
+@query()
+def tracks_by_removal(spark, sf_dir):
+    return weakest.tracks_by_removal(_order_edges(spark, sf_dir), "node % 3")
+
+
 # ---------------------------------------------------------------- points
 
 SEEN = f"ob AS ({observations_sql()})"
@@ -441,19 +486,57 @@ def triangulate_robust(spark, sf_dir):
     return triangulate.robust(start, seen).select("track_id", *(r(c, 4).alias(c.lower()) for c in "XYZ"), "usable", "n_views")
 
 
-@query()
-def bundle_adjust(spark, sf_dir):
-    """Cameras and points off their places, adjusted together."""
-    seen = observations(spark, sf_dir)
+def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations off their place by up to 1.5 pixels, and one in eleven by 40 pixels more."""
+    seed = F.col("track_id") * 7 + F.col("image_id") * 13
+    off = lambda k: (F.pmod(seed * k, F.lit(31)) - 15) * 0.1
+    outlier = F.when(F.pmod(seed, F.lit(11)) == 0, 40.0).otherwise(0.0)
+    return observations(spark, sf_dir).withColumns({"u": F.col("u") + off(3) + outlier, "v": F.col("v") + off(5)})
+
+
+@query(f"WITH {SEEN} SELECT track_id, count(*) AS n_views, CAST(0 AS DOUBLE) AS slope_x, CAST(0 AS DOUBLE) AS slope_y, CAST(0 AS DOUBLE) AS slope_z, true AS lower, true AS moved FROM ob GROUP BY track_id HAVING count(*) > 1")
+def triangulate_outliers(spark, sf_dir):
+    """Refinement under noise and outliers ends at a minimum of Huber's loss: its slope there, by finite differences of
+    the loss that ``triangulate.cost`` computes, is nothing to two places a step of a metre; the loss is below the
+    start's, and the solver took a step."""
+    seen = written(_noisy(spark, sf_dir), "noisy")
     several = seen.groupBy("track_id").agg(F.count("*").alias("n")).where("n > 1")
-    cameras = view(spark, sf_dir, "cameras").select(
+    start = written(_shifted(spark, sf_dir).join(several, "track_id", "left_semi"), "start")
+    found = written(triangulate.robust(start, seen), "refined")
+    step, shifts = 1e-4, [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+
+    def loss(points: DataFrame, name: str) -> DataFrame:
+        return triangulate.cost(triangulate.residuals(points, seen)).withColumnRenamed("cost", name)
+
+    out = found.select("track_id", "n_views", "iterations", F.col("cost").alias("own"))
+    out = out.join(loss(start, "at_start"), "track_id")
+    for k, shift in enumerate(shifts):
+        out = out.join(loss(found.select("track_id", "usable", *((F.col(c) + step * d).alias(c) for c, d in zip("XYZ", shift, strict=True))), f"c{k}"), "track_id")
+    slope = lambda k: r((F.col(f"c{k}") - F.col(f"c{k + 1}")) / (2 * step) / F.col("c0"), 2)
+    lower = (F.abs(F.col("own") - F.col("c0")) < 1e-6 * F.col("c0")) & (F.col("c0") <= F.col("at_start"))
+    return out.select("track_id", "n_views", slope(1).alias("slope_x"), slope(3).alias("slope_y"), slope(5).alias("slope_z"), lower.alias("lower"), (F.col("iterations") > 0).alias("moved"))
+
+
+def _looking_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras off their places."""
+    return view(spark, sf_dir, "cameras").select(
         "image_id", F.lit(0.0).alias("qw"), F.lit(1.0).alias("qx"), F.lit(0.0).alias("qy"), F.lit(0.0).alias("qz"),
         (F.col("cx") + (F.col("image_id") % 3 - 1) * 0.05).alias("cx"), "cy", "cz", "fx", "fy", F.lit(0.0).alias("px"), F.lit(0.0).alias("py"),
     )
-    uv = seen.select("track_id", "image_id", "u", (-F.col("v")).alias("v"))
+
+
+@query(f"WITH {SEEN} SELECT track_id, count(*) AS n_views, CAST(0 AS DOUBLE) AS rmse FROM ob GROUP BY track_id HAVING count(*) > 1")
+def bundle_adjust(spark, sf_dir):
+    """Cameras and points off their places, adjusted together: without noise every point is again seen where it was
+    observed, to a hundredth of a pixel, by the adjusted cameras."""
+    seen = written(observations(spark, sf_dir).select("track_id", "image_id", "u", (-F.col("v")).alias("v")), "seen")
+    several = seen.groupBy("track_id").agg(F.count("*").alias("n")).where("n > 1")
     points = _shifted(spark, sf_dir).join(several, "track_id", "left_semi").select("track_id", "X", "Y", "Z")
-    _, points, _ = adjust.bundle(cameras, points, uv, turns=3)
-    return points
+    cameras, points, _ = adjust.bundle(_looking_down(spark, sf_dir), points, seen.join(several, "track_id", "left_semi"), turns=30)
+    turn = mat.rotation([F.col(c) for c in QWXYZ])
+    both = seen.join(points, "track_id").join(F.broadcast(cameras), "image_id")
+    du, dv = geo.residual(turn, [F.col(c) for c in ("cx", "cy", "cz")], tuple(F.col(c) for c in ("fx", "fy", "px", "py")), [F.col(c) for c in "XYZ"], F.col("u"), F.col("v"))
+    return triangulate.rmse(both.withColumn("du", du).withColumn("dv", dv)).select("track_id", "n_views", r("rmse", 2).alias("rmse"))
 
 
 @query(f"""SELECT track_id, {rs("sqrt(X * X + Y * Y)")} AS planar, {rs("sqrt(X * X + Y * Y + Z * Z)")} AS spatial, {rs("(2 * X + 3) / (Z + 4)")} AS hx, {rs("(Y - 1) / (Z + 4)")} AS hy,

@@ -55,24 +55,26 @@ def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _rounds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The same result for components too large for a task. An edge that comes first among all edges of both its
-    clusters meets them just as it would in the whole order, so all such edges are settled at once: joined,
-    or dropped where the clusters share an image. ``edges(a, b, score)``, ``nodes(node, image)``."""
+    """The same result for components too large for a task. Edges whose clusters share an image go at once, as clusters
+    only grow. Of the others one that comes first among all edges of both its clusters meets them just as it would in
+    the whole order, so all such edges join their clusters in one round. ``edges(a, b, score)``,
+    ``nodes(node, image)``."""
     member = written(nodes.select("node", F.col("node").alias("cluster"), "image"), "member")
-    edges = written(edges.select("a", "b", "score", F.col("a").alias("p"), F.col("b").alias("q")), "open")
-    while not edges.isEmpty():
-        order = F.struct((-F.col("score")).alias("s"), "a", "b")
-        ends = edges.select("p", "q", order.alias("e"))
-        first = ends.select(F.col("p").alias("c"), "e").union(ends.select(F.col("q").alias("c"), "e")).groupBy("c").agg(F.min("e").alias("e"))
-        mine = ends.join(first.select(F.col("c").alias("p"), F.col("e").alias("ep")), "p").join(first.select(F.col("c").alias("q"), F.col("e").alias("eq")), "q").where("e = ep AND e = eq").select("p", "q")
-        mine = written(mine, "settled")
+    edges = edges.select("a", "b", "score", F.col("a").alias("p"), F.col("b").alias("q"))
+    while True:
         images = member.select("cluster", "image")
-        shared = mine.join(images.withColumnRenamed("cluster", "p"), "p").join(images.withColumnRenamed("cluster", "q"), ["q", "image"]).select("p", "q").distinct()
-        moved = written(mine.join(shared, ["p", "q"], "left_anti").select(F.greatest("p", "q").alias("old"), F.least("p", "q").alias("new")), "moved")
+        named = written(edges, "named")
+        shared = named.select("p", "q").distinct().join(images.withColumnRenamed("cluster", "p"), "p").join(images.withColumnRenamed("cluster", "q"), ["q", "image"]).select("p", "q").distinct()
+        open_edges = written(named.join(shared, ["p", "q"], "left_anti"), "open")
+        ends = open_edges.select("p", "q", F.struct((-F.col("score")).alias("s"), "a", "b").alias("e"))
+        first = ends.select(F.col("p").alias("c"), "e").union(ends.select(F.col("q").alias("c"), "e")).groupBy("c").agg(F.min("e").alias("e"))
+        mine = ends.join(first.select(F.col("c").alias("p"), F.col("e").alias("ep")), "p").join(first.select(F.col("c").alias("q"), F.col("e").alias("eq")), "q").where("e = ep AND e = eq")
+        moved = written(mine.select(F.greatest("p", "q").alias("old"), F.least("p", "q").alias("new")), "moved")
+        if moved.isEmpty():
+            break
         rename = lambda df, c: df.join(moved.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")  # noqa: B023, E731
         member = written(rename(member, "cluster"), "member")
-        edges = edges.join(shared, ["p", "q"], "left_anti").join(shared.select(F.col("p").alias("q"), F.col("q").alias("p")), ["p", "q"], "left_anti")
-        edges = written(rename(rename(edges, "p"), "q").where("p <> q"), "open")
+        edges = rename(rename(open_edges, "p"), "q").where("p <> q")
     low = member.groupBy("cluster").agg(F.min("node").alias("track_id"))
     return member.join(low, "cluster").select("track_id", "node")
 
@@ -88,7 +90,7 @@ def conflict_free_tracks(edges: DataFrame, image_of: str, task_edges: int = TASK
     counts = written(sized.groupBy("root").agg(F.count("*").alias("n")), "sizes")
     total = counts.agg(F.sum("n")).first()[0] or 0
     sized = sized.join(counts, "root")
-    deal = max(1, -(-total // task_edges))
+    deal = max(1, -(-total // max(task_edges, 1)))
     small = sized.where(F.col("n") <= task_edges).select("a", "b", "score", image("a").alias("ia"), image("b").alias("ib"), F.pmod(F.xxhash64("root"), F.lit(deal)).alias("task"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:

@@ -2,30 +2,51 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders that ``scratch`` has named, by the application that may remove them.
+_MADE: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset (tests) a local folder
-    becomes the checkpoint folder."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset a run in one process (tests) takes a
+    local folder, which goes when the process ends; on a cluster it is an error."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir")
     if not where:
         current = sc._jsc.sc().getCheckpointDir()
         where = current.get() if current.isDefined() else None
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="aerolith-")
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="aerolith-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        where = "file://" + folder
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name inside the shared folder."""
-    return f"{shared_dir(spark)}/aerolith-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/aerolith-{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove what this application has written to the shared folder, once nothing reads it any more; the number of
+    folders removed. Results that are still to be computed from written tables must be stored before."""
+    sc, removed = spark.sparkContext, 0
+    for path in _MADE.pop(sc.applicationId, []):
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        removed += bool(place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True))
+    return removed
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

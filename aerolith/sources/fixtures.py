@@ -50,6 +50,15 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
         },
         "",
     ),
+    "order_links": (
+        "lineitem",
+        {
+            "a": "CAST(l_orderkey * 8 + l_linenumber % 4 AS BIGINT)",
+            "b": "CAST(l_orderkey * 8 + 4 + l_partkey % 4 AS BIGINT)",
+            "score": "l_extendedprice / CAST(110000 AS DOUBLE)",
+        },
+        "",
+    ),
     "cameras": (
         "nation",
         {
