@@ -11,7 +11,7 @@ from aerolith.config import DEFAULT
 from aerolith.functions import geo, mat, polygon, raster
 from aerolith.operators import adjust, matching, mosaic, neighbours, ranges, tracks, triangulate, weakest
 from aerolith.operators import features as feats
-from aerolith.runtime import ordered_ids, written
+from aerolith.runtime import ordered_ids, upper_medians, written
 from aerolith.sources import fixtures, images
 from aerolith.sources.fixtures import observations, observations_sql, view, view_sql
 
@@ -93,8 +93,8 @@ def path_parts(spark, sf_dir):
 
 @query(f"WITH {LOCATED} SELECT {rs('lat0', 9)} AS lat0, {rs('lon0', 9)} AS lon0 FROM ref")
 def reference_coord(spark, sf_dir):
-    ref = view(spark, sf_dir, "images").agg(geo.upper_median("lat").alias("lat0"), geo.upper_median("lon").alias("lon0"))
-    return ref.select(r("lat0", 9).alias("lat0"), r("lon0", 9).alias("lon0"))
+    lat0, lon0 = upper_medians(view(spark, sf_dir, "images"), ["lat", "lon"])
+    return spark.createDataFrame([(lat0, lon0)], "lat0 double, lon0 double").select(r("lat0", 9).alias("lat0"), r("lon0", 9).alias("lon0"))
 
 
 @query(f"WITH {LOCATED} SELECT image_id, {rs('x', 4)} AS x, {rs('y', 4)} AS y, {rs('-rel_alt', 4)} AS z FROM loc")

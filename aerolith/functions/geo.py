@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolith.config import DEFAULT
 from aerolith.functions import mat
+from aerolith.runtime import upper_medians
 
 #: WGS-84 (fixed values): semi-major axis in metres, flattening.
 SEMI_MAJOR = 6378137.0
@@ -22,11 +23,6 @@ def rounded(x: mat.Entry, places: int = 6) -> Column:
     return F.rint(mat.num(x) * scale) / scale + F.lit(0.0)
 
 
-def upper_median(x: str) -> Column:
-    """The upper of the two middle values for an even count."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {x} DESC)")
-
-
 def local_coordinates(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Column, Column]:
     """East and north metres from a reference on the WGS-84 ellipsoid (degrees in)."""
     e2 = 2 * FLATTENING - FLATTENING * FLATTENING
@@ -168,10 +164,10 @@ def canvas(corners: Column, side: int = DEFAULT.rectified_side) -> Column:
 
 
 def with_reference(images: DataFrame) -> DataFrame:
-    """``images`` with the upper-median position and metres from it; the reference is one row."""
-    ref = images.agg(upper_median("lat").alias("lat0"), upper_median("lon").alias("lon0"))
+    """``images`` with the upper-median position and metres from it; the reference is two numbers."""
+    lat0, lon0 = (F.lit(v).cast("double") for v in upper_medians(images, ["lat", "lon"]))
     x, y = local_coordinates(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
-    return images.crossJoin(F.broadcast(ref)).withColumn("x", x).withColumn("y", y)
+    return images.withColumn("lat0", lat0).withColumn("lon0", lon0).withColumn("x", x).withColumn("y", y)
 
 
 def path_name(path: Column) -> Column:

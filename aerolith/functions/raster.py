@@ -103,10 +103,8 @@ def frame_mask(width: int, height: int) -> np.ndarray:
     return mask
 
 
-def rectify(img: np.ndarray, width: int, height: int, camera_to_world: np.ndarray, side: int = DEFAULT.rectified_side) -> tuple[np.ndarray, np.ndarray]:
-    """The image warped onto the ground plane, and its mask."""
-    mask = frame_mask(width, height)
-    img = resize_nearest(img, width, height)
+def rectifying(width: int, height: int, camera_to_world: np.ndarray, side: int = DEFAULT.rectified_side) -> tuple[np.ndarray, int, int]:
+    """The matrix that takes a photo's pixels onto the ground plane, and the size of the canvas there."""
     src = np.array([(0, 0), (width - 1, 0), (width - 1, height - 1), (0, height - 1)], float)
     d = src - [width / 2, height / 2]
     rays = np.column_stack([d / np.linalg.norm(d, axis=1, keepdims=True), np.ones(4)]) @ camera_to_world.T
@@ -114,9 +112,16 @@ def rectify(img: np.ndarray, width: int, height: int, camera_to_world: np.ndarra
     low, high = plane.min(axis=0), plane.max(axis=0)
     longest = (high - low).max()
     dst = (plane - low) * (side / (longest if longest >= 1e-6 else 1.0))
-    m = homography(src, dst)
     w, h = (max(1, int(v)) for v in np.ceil(np.round(dst.max(axis=0), 6)))
-    return warp(img, m, w, h), warp(mask, m, w, h, cubic=False)
+    return homography(src, dst), w, h
+
+
+def rectify(img: np.ndarray, width: int, height: int, camera_to_world: np.ndarray, side: int = DEFAULT.rectified_side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The image warped onto the ground plane, its mask, and the matrix of the warp."""
+    mask = frame_mask(width, height)
+    img = resize_nearest(img, width, height)
+    m, w, h = rectifying(width, height, camera_to_world, side)
+    return warp(img, m, w, h), warp(mask, m, w, h, cubic=False), m
 
 
 def blend(base: np.ndarray, base_mask: np.ndarray, new: np.ndarray, new_mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

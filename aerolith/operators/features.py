@@ -69,21 +69,33 @@ class CornerDetector:
 
 def extract(images: DataFrame, detector: Callable | None = None) -> DataFrame:
     """Features of decoded images (``image_id`` and the fields of the image source: ``height, width, nChannels,
-    data``): decimated, detected, masked at the border, indexed. One detector per Python worker."""
+    data``): decimated, detected, kept where the mask is set, indexed. A rectified image brings its warped ``mask`` and
+    ``warp``; without them the mask is the frame's. ``x, y`` are pixels of the photo, ``nx, ny`` normalised places in the
+    decimated image. One detector per Python worker."""
     detector = detector or CornerDetector()
+    extra = [c for c in ("mask", "warp") if c in images.columns]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples():
-                img = raster.decimate(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)[..., :3])
+                whole = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)[..., :3]
+                img = raster.decimate(whole)
+                height, width = img.shape[:2]
                 points, scores, desc = detector(img)
-                mask = raster.frame_mask(img.shape[1], img.shape[0])
+                mask = raster.decimate(np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width)) if "mask" in extra else raster.frame_mask(width, height)
                 keep = mask[points[:, 1].astype(int), points[:, 0].astype(int)] > 0
-                out += [(r.image_id, i, float(x), float(y), float(s), d.tolist()) for i, ((x, y), s, d) in enumerate(zip(points[keep], scores[keep], desc[keep], strict=True))]
-            yield pd.DataFrame(out, columns=["image_id", "feat_idx", "x", "y", "score", "desc"])
-
-    return images.mapInPandas(run, schemas.FEATURE)
+                points, scores, desc = points[keep], scores[keep], desc[keep]
+                half = max(width, height) / 2
+                places = (points - [width / 2, height / 2]) / half
+                photo = points * [r.width / width, r.height / height]
+                if "warp" in extra and len(photo):
+                    photo = raster.transform_points(np.linalg.inv(np.array(r.warp).reshape(3, 3)), photo)
+                rows = zip(photo.tolist(), scores.tolist(), places.tolist(), desc.tolist(), strict=True)
+                out += [(r.image_id, i, x, y, s, nx, ny, d) for i, ((x, y), s, (nx, ny), d) in enumerate(rows)]
+            yield pd.DataFrame(out, columns=["image_id", "feat_idx", "x", "y", "score", "nx", "ny", "descriptor"])
+
+    return images.select("image_id", "height", "width", "nChannels", "data", *extra).mapInPandas(run, schemas.FEATURE)
 
 
 def memory(features: DataFrame, images: DataFrame) -> DataFrame:

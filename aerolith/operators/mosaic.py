@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.functions import geo, raster
+from aerolith.sources import store
 
 
 def out_degree(edges: DataFrame, priority: int = 0) -> DataFrame:
@@ -37,42 +42,99 @@ def two_hop(edges: DataFrame) -> DataFrame:
     return best.select("src", "dst", F.col("w.mid").alias("mid"), "w.dx", "w.dy", (F.col("w.priority") + 1).alias("priority"))
 
 
+class Memory:
+    """Pixels of a mosaic's nodes in this process."""
+
+    def __init__(self, nodes: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.nodes = dict(nodes)
+
+    def stitch(self, out: int, centre: int, around: list[tuple[int, np.ndarray]], priority: int) -> np.ndarray:
+        self.nodes[out], corner = stitch_star(self.nodes[centre], [(self.nodes[j], m) for j, m in around])
+        return corner
+
+
+class Stored:
+    """Pixels of a mosaic's nodes in a folder that driver and executors share: ``{node}.npz``. A star is stitched in a
+    task, which reads the images around it one by one and writes the new node, and beside it the partial mosaic
+    ``p{priority}-i{node}.png`` with its ``_mask``; the driver holds no pixels."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def load(self, node: int) -> tuple[np.ndarray, np.ndarray]:
+        fs, path = store.place(f"{self.folder}/{node}.npz")
+        with fs.open_input_file(path) as f, np.load(io.BytesIO(f.read())) as z:
+            return z["img"], z["mask"]
+
+    def save(self, node: int, img: np.ndarray, mask: np.ndarray) -> None:
+        data = io.BytesIO()
+        np.savez_compressed(data, img=img, mask=mask)
+        store.write_bytes(data.getvalue(), f"{self.folder}/{node}.npz")
+
+    def put(self, images: DataFrame) -> list[int]:
+        """Store rectified images (``image_id, height, width, nChannels, data, mask``) from their tasks; their ids."""
+        folder = self.folder
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            mine = Stored(None, folder)
+            for f in frames:
+                for r in f.itertuples():
+                    mine.save(r.image_id, np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels), np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width))
+                yield f[["image_id"]]
+
+        return sorted(r.image_id for r in images.select("image_id", "height", "width", "nChannels", "data", "mask").mapInPandas(run, "image_id long").collect())
+
+    def stitch(self, out: int, centre: int, around: list[tuple[int, np.ndarray]], priority: int) -> np.ndarray:
+        folder = self.folder
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            mine = Stored(None, folder)
+            for f in frames:
+                if len(f):
+                    (img, mask), corner = stitch_star(mine.load(centre), ((mine.load(j), m) for j, m in around), lambda j: mine.load(j)[0].shape, around)
+                    mine.save(out, img, mask)
+                    for name, pixels in (("", img), ("_mask", mask)):
+                        store.write_image(pixels, f"{folder}/p{priority}-i{out}{name}.png")
+                    yield pd.DataFrame({"x": [int(corner[0])], "y": [int(corner[1])]})
+
+        (r,) = self.spark.range(1, numPartitions=1).mapInPandas(run, "x long, y long").collect()
+        return np.array([r.x, r.y])
+
+
 class Mosaic:
-    """Contraction of a placement graph. The graph (one node per image) is small and stays on the driver; each
-    star's pixels are stitched where ``stitch_star`` runs.
+    """Contraction of a placement graph. The graph (one node per image) stays on the driver; pixels are where ``nodes``
+    keeps them: a dictionary id -> (image, mask), or ``Stored`` with the ids given.
 
-    ``nodes``: id -> (image, mask). ``edges``: (i, j) -> 3x3 matrix from i's pixels to j's.
+    ``edges``: (i, j) -> 3x3 matrix from i's pixels to j's.
     """
 
-    def __init__(self, nodes: dict[int, tuple[np.ndarray, np.ndarray]], edges: dict[tuple[int, int], np.ndarray]) -> None:
-        if not nodes:
+    def __init__(self, nodes: dict[int, tuple[np.ndarray, np.ndarray]] | Stored, edges: dict[tuple[int, int], np.ndarray], ids: list[int] | None = None) -> None:
+        ids = list(nodes) if ids is None else ids
+        if not ids:
             raise ValueError("no image")
-        self.nodes = dict(nodes)
+        self.pixels = nodes if isinstance(nodes, Stored) else Memory(nodes)
         self.edges: dict[int, dict[int, tuple[np.ndarray, int]]] = {}
         for (i, j), m in edges.items():
             self.edges.setdefault(i, {})[j] = (m, 0)
             self.edges.setdefault(j, {})[i] = (np.linalg.inv(m), 0)
-        self.last = max(nodes)
+        self.last, self.many = max(ids), len(ids)
 
     def hub(self, priority: int) -> int | None:
         degree = {i: sum(p == priority for _, p in out.values()) for i, out in self.edges.items()}
         best = max(degree.values(), default=0)
         return min(i for i, d in degree.items() if d == best) if best else None
 
-    def star(self, i: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-        return stitch_star(self.nodes[i], [(self.nodes[j], np.linalg.inv(m)) for j, (m, _) in sorted(self.edges[i].items())])
-
-    def run(self) -> tuple[np.ndarray, np.ndarray]:
-        """The image and mask of the last star."""
+    def contract(self) -> int:
+        """Stitch star after star; the node of the last one."""
         priority = 0
         i = self.hub(priority)
         while len(self.edges) > 1 and i is not None:
-            node, corner = self.star(i)
+            around = {j: m for j, (m, _) in self.edges[i].items()}
             self.last += 1
+            self.many += 1
             p = self.last
-            self.nodes[p] = node
+            corner = self.pixels.stitch(p, i, [(j, np.linalg.inv(m)) for j, m in sorted(around.items())], priority)
             place = np.array([[1, 0, corner[0]], [0, 1, corner[1]], [0, 0, 1]], float)
-            around = {j: m for j, (m, _) in self.edges[i].items()}
             far: dict[int, tuple[np.ndarray, int]] = {}
             for j in sorted(around):
                 for k, (m, q) in sorted(self.edges.get(j, {}).items()):
@@ -85,21 +147,28 @@ class Mosaic:
                 self.edges.setdefault(k, {})[p] = (np.linalg.inv(m), q)
             self.edges = {a: out for a, out in self.edges.items() if out}
             i = self.hub(priority)
-            while i is None and self.edges and priority <= len(self.nodes):
+            while i is None and self.edges and priority <= self.many:
                 priority += 1
                 i = self.hub(priority)
-        return self.nodes[self.last]
+        return self.last
+
+    def run(self) -> tuple[np.ndarray, np.ndarray]:
+        """The image and mask of the last star."""
+        last = self.contract()
+        return self.pixels.load(last) if isinstance(self.pixels, Stored) else self.pixels.nodes[last]
+
 
+def stitch_star(centre: tuple[np.ndarray, np.ndarray], around: Iterable[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]], shape_of: Callable | None = None, keys: list | None = None) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The centre with its neighbours warped onto it by their matrices, and the canvas corner in the centre's pixels.
+    Where ``around`` is read as it goes, ``shape_of`` gives the shapes of ``keys`` (node, matrix) before."""
 
-def stitch_star(centre: tuple[np.ndarray, np.ndarray], around: list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """The centre with its neighbours warped onto it by their matrices, and the canvas corner in the centre's
-    pixels."""
-    def corners(img):
-        h, w = img.shape[:2]
+    def corners(shape):
+        h, w = shape[:2]
         return np.array([(0, 0), (w - 1, 0), (w - 1, h - 1), (0, h - 1)], float)
 
     away = lambda v: np.where(v >= 0, np.ceil(np.round(v, 9)), np.floor(np.round(v, 9)))
-    every = np.concatenate([corners(centre[0]), *(away(raster.transform_points(m, corners(n[0]))) for n, m in around)])
+    sizes = [(shape_of(j), m) for j, m in keys] if shape_of else [(n[0].shape, m) for n, m in around]
+    every = np.concatenate([corners(centre[0].shape), *(away(raster.transform_points(m, corners(shape))) for shape, m in sizes)])
     low, high = every.min(axis=0).astype(int), every.max(axis=0).astype(int)
     width, height = high - low + 1
     img = np.zeros((height, width, *centre[0].shape[2:]), np.uint8)

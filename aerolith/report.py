@@ -51,3 +51,11 @@ def pose_text() -> Column:
 
 def pair_text() -> Column:
     return F.format_string("%d - %d: %d matches", "img_lhs", "img_rhs", "n_matches")
+
+
+def angle_text() -> Column:
+    return F.format_string("yaw %.2f, pitch %.2f, roll %.2f", "yaw", "pitch", "roll")
+
+
+def intrinsic_text() -> Column:
+    return F.format_string("fx %.2f, fy %.2f, cx %.2f, cy %.2f", "fx", "fy", "cx", "cy")

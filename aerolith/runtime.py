@@ -68,3 +68,30 @@ def ordered_ids(df: DataFrame, order: str, out: str) -> DataFrame:
         at += r[1]
     base = df.sparkSession.createDataFrame(starts, "__pid int, __shift long")
     return rows.join(F.broadcast(base), "__pid").withColumn(out, F.col("__seq") + F.col("__shift")).drop("__pid", "__seq", "__shift")
+
+
+def upper_medians(df: DataFrame, columns: list[str]) -> list[float | None]:
+    """The upper of the two middle values of each column (the middle one for an odd count), nulls left out; null where
+    there is none. All columns are sorted by range in one pass, and the ranks are picked by the counts of the
+    partitions, so no task sees all values."""
+    values = [df.select(F.lit(k).alias("kind"), F.col(c).cast("double").alias("value")).where(F.col("value").isNotNull()) for k, c in enumerate(columns)]
+    rows = values[0]
+    for more in values[1:]:
+        rows = rows.union(more)
+    rows = rows.repartitionByRange("kind", "value").sortWithinPartitions("kind", "value")
+    rows = written(rows.withColumn("pid", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), "medians")
+    parts: dict[int, list[tuple[int, int, int]]] = {}
+    for kind, pid, n, first in rows.groupBy("kind", "pid").agg(F.count("*"), F.min("seq")).collect():  # a row for each partition
+        parts.setdefault(kind, []).append((pid, n, first))
+    wanted = {}
+    for kind, found in parts.items():
+        rank = sum(n for _, n, _ in found) // 2
+        for _, n, first in sorted(found):
+            if rank < n:
+                wanted[first + rank] = kind
+                break
+            rank -= n
+    out: list[float | None] = [None] * len(columns)
+    for kind, value in rows.where(F.col("seq").isin(list(wanted))).select("kind", "value").collect() if wanted else []:
+        out[kind] = value
+    return out

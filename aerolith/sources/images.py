@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import re
 import struct
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from urllib.parse import quote, urlsplit
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,19 +39,27 @@ def valid_extension(path: Column) -> Column:
     return geo.path_extension(path).isin(*EXTENSIONS, *(e.upper() for e in EXTENSIONS))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system that it names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """Path, size and time of the entries of a folder, without its subfolders; contents are not read."""
     return spark.read.format("binaryFile").load(folder).select("path", "length", "modificationTime")
 
 
-def _segments(data: bytes) -> Iterator[bytes]:
-    """The APP1 segments of a JPEG."""
-    at = 2
-    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xDA, 0xD9):
-        n = struct.unpack_from(">H", data, at + 2)[0]
-        if data[at + 1] == 0xE1:
-            yield data[at + 4 : at + 2 + n]
-        at += 2 + n
+def _segments(f) -> Iterator[bytes]:
+    """The APP1 segments of a JPEG file; whatever else stands before the picture is skipped, not read."""
+    if f.read(2) != b"\xff\xd8":
+        return
+    while len(head := f.read(4)) == 4 and head[0] == 0xFF and head[1] not in (0xDA, 0xD9):
+        n = max(struct.unpack_from(">H", head, 2)[0] - 2, 0)
+        if head[1] == 0xE1:
+            yield f.read(n)
+        else:
+            f.seek(n, 1)
 
 
 def _exif(segment: bytes) -> dict[str, float]:
@@ -89,10 +100,11 @@ def _xmp(data: bytes) -> dict[str, float]:
     return out
 
 
-def metadata_of(data: bytes) -> dict[str, float]:
-    """The known EXIF and XMP values of a file; what can't be read is absent."""
+def metadata_in(f) -> dict[str, float]:
+    """The known EXIF and XMP values of an open file; what can't be read is absent. The whole file is read only where no
+    segment at its head holds XMP."""
     out: dict[str, float] = {}
-    for segment in _segments(data):
+    for segment in _segments(f):
         try:
             if segment.startswith(b"Exif\0\0"):
                 out |= _exif(segment)
@@ -101,23 +113,40 @@ def metadata_of(data: bytes) -> dict[str, float]:
         except (struct.error, ET.ParseError):
             continue
     if not any(c in out for c in XMP_KEYS.values()):
+        f.seek(0)
         try:
-            out |= _xmp(data)
+            out |= _xmp(f.read())
         except ET.ParseError:
             pass
     return out
 
 
-def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    """``path`` and the metadata columns of each file with a valid extension; a missing key is null."""
-    files = spark.read.format("binaryFile").load(folder).where(valid_extension(F.col("path"))).select("path", "content")
+def metadata_of(data: bytes) -> dict[str, float]:
+    return metadata_in(io.BytesIO(data))
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [metadata_of(c) for c in f.content]
-            yield pd.DataFrame({"path": f.path} | {c: pd.array([m.get(c) for m in found], "Float64") for c in COLUMNS})
+def _opened(path: str):
+    fs, place = pafs.FileSystem.from_uri(quote(path, safe="/:@"))
+    return fs.open_input_file(place)
 
-    return files.mapInPandas(run, "path string, " + ", ".join(f"{c} double" for c in COLUMNS))
+
+def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """``path`` and the metadata columns of each file with a valid extension; a missing key is null. The tasks open the
+    files and read their heads; in a store that only Spark can open they get the files whole."""
+    schema = "path string, " + ", ".join(f"{c} double" for c in COLUMNS)
+    files = spark.read.format("binaryFile").load(folder).where(valid_extension(F.col("path")))
+    scheme = urlsplit(spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).getUri().toString()).scheme
+    direct = scheme in ("file", "hdfs", "s3", "gs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, found = batch.column(0).to_pylist(), []
+            for k, path in enumerate(paths):
+                with _opened(path) if direct else io.BytesIO(batch.column(1)[k].as_py()) as f:
+                    found.append(metadata_in(f))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *(pa.array([m.get(c) for m in found], pa.float64()) for c in COLUMNS)], names=["path", *COLUMNS])
+
+    return files.select("path", *([] if direct else ["content"])).mapInArrow(run, schema)
 
 
 def with_required(meta: DataFrame) -> DataFrame:

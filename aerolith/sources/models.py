@@ -1,23 +1,40 @@
-"""Model files: an ONNX session per Python worker, for detectors and pair matchers."""
+"""Model files: an ONNX session per Python worker, for detectors and pair matchers. A model is read through the file
+system that its path names, so a path on shared storage serves every executor."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
-from pathlib import Path
 
 import numpy as np
+import pyarrow.fs as pafs
 
 from aerolith.functions import raster
 
 
+#: Where a session runs, in order of preference; those that this machine lacks are left out.
+PROVIDERS = ("CUDAExecutionProvider", "CPUExecutionProvider")
+
+
 @lru_cache(maxsize=4)
 def session(path: str):
     """The session of a model file; one for each worker process."""
-    if not Path(path).exists():
-        raise FileNotFoundError(path)
+    fs, place = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    with fs.open_input_file(place) as f:
+        model = f.read()
     import onnxruntime
 
-    return onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
+    there = onnxruntime.get_available_providers()
+    return onnxruntime.InferenceSession(model, providers=[p for p in PROVIDERS if p in there])
+
+
+def detector(path: str | None, colour: bool = False) -> Callable | None:
+    """The learned detector of a model file; none where there is no file."""
+    return OnnxDetector(path, colour) if path else None
+
+
+def matcher(path: str | None) -> Callable | None:
+    return OnnxPairMatcher(path) if path else None
 
 
 class OnnxDetector:

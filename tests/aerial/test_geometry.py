@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolith.functions import geo, mat, polygon, raster
+from aerolith.runtime import upper_medians
 
 
 def one(spark, columns):
@@ -36,7 +37,10 @@ def test_pose_is_a_rotation_and_its_quaternion_returns_it(spark, angles):
 
 @pytest.mark.parametrize(("values", "median"), [([5], 5), ([1, 2], 2), ([4, 1, 3, 2], 3), ([5, 1, 4, 2, 3], 3)])
 def test_upper_median(spark, values, median):
-    assert spark.createDataFrame([(float(v),) for v in values], "v double").agg(geo.upper_median("v")).first()[0] == median
+    df = spark.createDataFrame([(float(v), -float(v), None) for v in [*values]], "v double, w double, x double")
+    other = -sorted(values)[(len(values) - 1) // 2]
+    assert upper_medians(df.repartition(3), ["v", "x", "w"]) == [median, None, other]
+    assert upper_medians(df.where("v < 0"), ["v"]) == [None]
 
 
 def test_normalise_and_back(spark):
@@ -90,7 +94,7 @@ def test_raster():
 
 def test_rectify_and_blend():
     img = np.full((30, 40, 3), 100, np.uint8)
-    out, mask = raster.rectify(img, 40, 30, np.eye(3), side=80)
+    out, mask, _ = raster.rectify(img, 40, 30, np.eye(3), side=80)
     assert max(out.shape[:2]) == 80 and out.shape[:2] == mask.shape and set(np.unique(mask)) <= {0, 255}
     base, new = np.full((4, 4, 3), 10, np.uint8), np.full((4, 4, 3), 21, np.uint8)
     left, right = np.zeros((4, 4), np.uint8), np.zeros((4, 4), np.uint8)

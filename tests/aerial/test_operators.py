@@ -251,6 +251,22 @@ def test_mosaic_of_shifted_tiles():
         mosaic.Mosaic({}, {})
 
 
+def test_mosaic_in_tasks_equals_mosaic_in_memory(spark, tmp_path):
+    """A ring of turned and shifted tiles; the partial mosaics and their masks stand beside the nodes."""
+    rng = np.random.default_rng(11)
+    nodes = {i: (rng.integers(0, 256, (20, 24, 3)).astype(np.uint8), np.full((20, 24), 255, np.uint8)) for i in range(6)}
+    turn = lambda a, x, y: np.array([[np.cos(a), -np.sin(a), x], [np.sin(a), np.cos(a), y], [0, 0, 1]])
+    edges = {(0, 1): turn(0.1, -9, 2), (1, 2): turn(0.0, -8, 1), (2, 3): turn(-0.2, -7, 0), (3, 4): turn(0.1, -9, -3), (4, 5): turn(0.05, -10, 1), (1, 4): turn(0.0, -20, 1)}
+    want, mask = mosaic.Mosaic(nodes, edges).run()
+    rows = [(i, 20, 24, 3, bytearray(img.tobytes()), bytearray(m.tobytes())) for i, (img, m) in nodes.items()]
+    kept = mosaic.Stored(spark, str(tmp_path))
+    ids = kept.put(spark.createDataFrame(rows, "image_id long, height int, width int, nChannels int, data binary, mask binary").repartition(3))
+    assert ids == list(range(6))
+    got, got_mask = mosaic.Mosaic(kept, edges, ids).run()
+    assert np.array_equal(got, want) and np.array_equal(got_mask, mask)
+    assert {p.name for p in tmp_path.glob("p0-i6*")} == {"p0-i6.png", "p0-i6_mask.png"}
+
+
 def test_features(spark):
     rows = [(1, i, float(i), 5.0, s) for i, s in enumerate([0.04, 0.9, 0.5, 0.9, 0.05])]
     f = spark.createDataFrame(rows, "image_id long, feat_idx int, x double, y double, score double")
