@@ -56,7 +56,7 @@ def sentences():
 def test_odd_documents(spark, folder, odd_rows):
     clean = list(sentences())
     odd = [(None if i is None else 1000 + i, t, None) for i, t in odd_rows]
-    planted = [(2000, f"{clean[0][1]} {ITEM} end", "en"), (2001, clean[4][1], "en"), (2002, f"{clean[6][1]} mail a.b@c.org", None)]
+    planted = [(2000, f"{clean[0][1]} {ITEM} end", "en"), (2001, clean[4][1], "en"), (2002, f"{' '.join(clean[6][1].split()[::-1])} mail a.b@c.org", None)]
     where = folder(clean + odd + planted, [(1, ITEM, "x"), (2, None, "x"), (3, "", "x"), (4, "the", "x"), (1, ITEM, "x"), (None, "not there at all, nowhere", "x")])
     docs = spark.read.parquet(f"{where}/documents.parquet")
     kept = {}
