@@ -244,12 +244,18 @@ def feature_denormalise(spark, sf_dir):
     return feats.denormalised(feats.normalised(view(spark, sf_dir, "features"), *FRAME), *FRAME).select("image_id", "feat_idx", r("x").alias("x"), r("y").alias("y"))
 
 
-@query(f"""WITH {NEAREST}, {STRONG}
+#: Pairs of neighbours among the images that have features.
+FEATURED = NEAREST.replace("FROM loc p JOIN loc q", "FROM lf p JOIN lf q").replace("d AS (SELECT p.image_id", f"{STRONG}, lf AS (SELECT * FROM loc WHERE image_id IN (SELECT image_id FROM st)),\nd AS (SELECT p.image_id")
+
+
+@query(f"""WITH {FEATURED}
 SELECT a.image_id AS img_lhs, b.image_id AS img_rhs, a.feat_idx AS lhs, b.feat_idx AS rhs, {rs("list_cosine_similarity(a.descriptor, b.descriptor)", 4)} AS score
 FROM pr JOIN st a ON a.image_id = img_lhs JOIN st b ON b.image_id = img_rhs WHERE list_cosine_similarity(a.descriptor, b.descriptor) >= CAST(0.2 AS DOUBLE)""")
 def descriptor_similarity(spark, sf_dir):
-    pairs = neighbours.proposed_pairs(_nearest(spark, sf_dir))
-    return matching.score_pairs(pairs, _strong(spark, sf_dir)).select("img_lhs", "img_rhs", "lhs", "rhs", r("score", 4).alias("score"))
+    strong = _strong(spark, sf_dir)
+    images = _located(spark, sf_dir).join(strong.select("image_id"), "image_id", "left_semi")
+    pairs = neighbours.proposed_pairs(neighbours.nearest(images.select(F.col("image_id").alias("id"), "x", "y")))
+    return matching.score_pairs(pairs, strong).select("img_lhs", "img_rhs", "lhs", "rhs", r("score", 4).alias("score"))
 
 
 @query(f"""SELECT i.image_id, CAST(width * height * 3 AS BIGINT) AS image_bytes, CAST(coalesce(b, 0) AS BIGINT) AS feature_bytes FROM ({view_sql("images")}) i
