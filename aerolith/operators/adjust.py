@@ -33,6 +33,8 @@ DAMPING, EASIER, HARDER = 1e-4, 5.0, 10.0
 #: Conjugate gradients end at this share of the first residual.
 GRADIENT_SHARE, GRADIENT_STEPS = 0.02, 30
 LEAST_FOCAL, LEAST_DEPTH = 1e-6, 1e-6
+#: A loss below this share of the first is as good as none.
+EXACT = 1e-9
 #: Pairs of views that are multiplied at a time, and blocks that a task sums before it passes them on.
 PAIRS, HELD_BLOCKS = 20_000, 20_000
 
@@ -254,7 +256,8 @@ def stepped(cameras: np.ndarray, step: np.ndarray) -> np.ndarray:
 def bundle(cameras: DataFrame, points: DataFrame, seen: DataFrame, turns: int = DEFAULT.solver_iterations, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame, list[float]]:
     """Refined ``cameras`` (CAMERA_SCHEMA), refined ``points(track_id, X, Y, Z)`` and the loss at first and after each
     step taken. ``seen`` has ``track_id, image_id, u, v``, at most a row for each image in a track. Ends after ``turns``
-    trials, when a step lowers the loss by less than ``tolerance`` of it, or when no damping helps."""
+    trials, when a step lowers the loss by less than ``tolerance`` of it, when hardly any loss is left, or when no damping
+    helps."""
     spark = cameras.sparkSession
     held = sorted(tuple(r) for r in cameras.select("image_id", *CAMERA).limit(CAMERAS + 1).collect())
     if len(held) > CAMERAS:
@@ -283,7 +286,7 @@ def bundle(cameras: DataFrame, points: DataFrame, seen: DataFrame, turns: int =
             continue
         now, packed, damping = trial, moved, max(damping / EASIER, 1e-12)
         losses.append(loss)
-        if losses[-2] - loss <= tolerance * losses[-2]:
+        if losses[-2] - loss <= tolerance * losses[-2] or loss <= EXACT * losses[0]:
             break
     rows = [(int(i), *map(float, row)) for i, row in zip(ids, now, strict=True)]
     return spark.createDataFrame(rows, CAMERA_SCHEMA), packed.select("track_id", *"XYZ"), losses
