@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolith.functions import raster
-from aerolith.operators import adjust, features
+from aerolith.operators import adjust, features, matching
 from aerolith.plans import survey
 from aerolith.sources import images, models, store
 from aerolith.streaming import ingest
+from tests.aerial import onnx_file
 
 VALUES = {"GimbalYawDegree": "+12.50", "GimbalPitchDegree": "-90.0", "GimbalRollDegree": "-0.0", "GpsLatitude": "22.5", "GpsLongitude": "114.1", "RelativeAltitude": "+100.1", "AbsoluteAltitude": "+135.0"}
 
@@ -173,6 +174,29 @@ def test_match_pictures(spark, tmp_path):
     assert [p.name for p in (tmp_path / "m").iterdir()] == ["0_1_matches.png"]
 
 
+def test_learned_detector_and_matcher(spark, tmp_path):
+    """Model files through the adapters, in tasks: bright pixels as features, like descriptors as matches."""
+    (tmp_path / "d.onnx").write_bytes(onnx_file.bright_pixels(0.5))
+    (tmp_path / "m.onnx").write_bytes(onnx_file.like_pairs(1.0))
+    img = np.zeros((20, 30, 3), np.uint8)
+    spots = {(5, 4): 255, (20, 10): 204, (25, 15): 153, (0, 0): 255}  # the last one under the mask's border
+    for (x, y), v in spots.items():
+        img[y, x] = v
+    for uri in (str(tmp_path / "d.onnx"), f"file://{tmp_path}/d.onnx"):
+        table = spark.createDataFrame([(i, 20, 30, 3, bytearray(img.tobytes())) for i in (0, 1)], "image_id long, height int, width int, nChannels int, data binary")
+        found = features.extract(table, models.detector(uri))
+        got = {(r.x, r.y): (r.score, r.descriptor) for r in found.where("image_id = 0").collect()}
+        assert set(got) == {(5.0, 4.0), (20.0, 10.0), (25.0, 15.0)}
+        assert all(np.allclose([s, *d], [v / 255, v / 255, (v / 255) ** 2], atol=1e-4) for (xy, (s, d)), v in zip(sorted(got.items()), (255, 204, 153), strict=True))
+    pairs = spark.createDataFrame([(0, 1)], "img_lhs long, img_rhs long")
+    raw = matching.score_with(pairs, features.strongest(found), models.matcher(str(tmp_path / "m.onnx"))).collect()
+    value = {r.feat_idx: r.score for r in found.where("image_id = 0").collect()}
+    product = {(a, b): value[a] * value[b] + value[a] ** 2 * value[b] ** 2 for a in value for b in value}
+    assert {(r.lhs, r.rhs) for r in raw} == {k for k, v in product.items() if v > 1}
+    assert all(abs(r.score - product[r.lhs, r.rhs]) < 1e-3 for r in raw)
+    assert models.detector(None) is None and models.matcher(None) is None
+
+
 def test_models_need_their_file():
     with pytest.raises(FileNotFoundError):
         models.OnnxDetector("/nowhere.onnx")(np.zeros((8, 8, 3), np.uint8))
