@@ -586,6 +586,34 @@ def polygon_iou(spark, sf_dir):
     return both.select("a_id", "b_id", r(F.when(F.size("c") > 2, polygon.area(F.col("c"))).otherwise(0.0)).alias("common"), r("iou").alias("iou"))
 
 
+#: Boxes turned about their middle; common points are the corners of each inside the other and the crossings of sides.
+TURNED_BOXES = f"""tb AS (SELECT box_id, x0 + w / 2 AS mx, y0 + h / 2 AS my, w / 2 AS hw, h / 2 AS hh, cos(box_id * CAST(0.37 AS DOUBLE)) AS c, sin(box_id * CAST(0.37 AS DOUBLE)) AS s FROM ({view_sql("boxes")}) b),
+co AS (SELECT box_id, k, mx + kx * hw * c - ky * hh * s AS x, my + kx * hw * s + ky * hh * c AS y FROM tb, (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) v(k, kx, ky)),
+si AS (SELECT p.box_id, p.k, p.x, p.y, q.x - p.x AS dx, q.y - p.y AS dy FROM co p JOIN co q ON q.box_id = p.box_id AND q.k = (p.k + 1) % 4),
+bp AS (SELECT a.box_id AS a_id, b.box_id AS b_id, 4 * a.hw * a.hh + 4 * b.hw * b.hh AS areas FROM tb a JOIN tb b ON b.box_id BETWEEN a.box_id + 1 AND a.box_id + 3),
+cr AS (SELECT a_id, b_id, p.x, p.y, p.dx, p.dy, ((q.x - p.x) * q.dy - (q.y - p.y) * q.dx) / nullif(p.dx * q.dy - p.dy * q.dx, 0) AS t, ((q.x - p.x) * p.dy - (q.y - p.y) * p.dx) / nullif(p.dx * q.dy - p.dy * q.dx, 0) AS u
+  FROM bp JOIN si p ON p.box_id = a_id JOIN si q ON q.box_id = b_id),
+ins AS (SELECT a_id, b_id, co.x, co.y FROM bp JOIN co ON co.box_id = a_id JOIN tb ON tb.box_id = b_id WHERE abs((x - mx) * c + (y - my) * s) <= hw AND abs((y - my) * c - (x - mx) * s) <= hh
+  UNION ALL SELECT a_id, b_id, co.x, co.y FROM bp JOIN co ON co.box_id = b_id JOIN tb ON tb.box_id = a_id WHERE abs((x - mx) * c + (y - my) * s) <= hw AND abs((y - my) * c - (x - mx) * s) <= hh
+  UNION ALL SELECT a_id, b_id, x + t * dx, y + t * dy FROM cr WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1),
+an AS (SELECT *, atan2(y - avg(y) OVER g, x - avg(x) OVER g) AS turn FROM ins WINDOW g AS (PARTITION BY a_id, b_id)),
+nx AS (SELECT a_id, b_id, x, y, coalesce(lead(x) OVER g, first(x) OVER g) AS x2, coalesce(lead(y) OVER g, first(y) OVER g) AS y2 FROM an WINDOW g AS (PARTITION BY a_id, b_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+cm AS (SELECT a_id, b_id, abs(sum(x * y2 - x2 * y)) / 2 AS common FROM nx GROUP BY a_id, b_id)"""
+
+
+@query(f"WITH {TURNED_BOXES} SELECT a_id, b_id, {rs('coalesce(common, 0)', 4)} AS common, {rs('coalesce(common, 0) / (areas - coalesce(common, 0))', 4)} AS iou FROM bp LEFT JOIN cm USING (a_id, b_id)")
+def polygon_iou_turned(spark, sf_dir):
+    def turned(k: str) -> Column:
+        x, y, w, h = (F.col(f"{k}_{c}") for c in ("x0", "y0", "w", "h"))
+        t = F.col(f"{k}_box_id") * 0.37
+        corner = lambda i, j: F.struct((x + w / 2 + i * w / 2 * F.cos(t) - j * h / 2 * F.sin(t)).alias("x"), (y + h / 2 + i * w / 2 * F.sin(t) + j * h / 2 * F.cos(t)).alias("y"))
+        return F.array(*(corner(i, j) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))))
+
+    pairs = _box_pairs(spark, sf_dir).select(F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id"), turned("a").alias("a"), turned("b").alias("b"))
+    both = pairs.withColumn("c", polygon.intersection("a", "b")).withColumn("iou", polygon.convex_iou("a", "b"))
+    return both.select("a_id", "b_id", r(F.when(F.size("c") > 2, polygon.area(F.col("c"))).otherwise(0.0), 4).alias("common"), r("iou", 4).alias("iou"))
+
+
 #: A quadrilateral whose second corner moves in until it is no longer convex.
 QUAD = [("x0", "y0"), ("x0 + w - box_id % 4", "y0 + box_id % 3"), ("x0 + w", "y0 + h"), ("x0", "y0 + h")]
 
@@ -667,6 +695,21 @@ def mosaic_two_hop(spark, sf_dir):
     return mosaic.two_hop(_placements(spark, sf_dir))
 
 
+#: Turned, scaled and slightly tilted placements from the shifts.
+TILT = ["1 + src % 7 * CAST(0.01 AS DOUBLE)", "dst % 5 * CAST(0.02 AS DOUBLE)", "dx", "-(src % 5) * CAST(0.02 AS DOUBLE)", "1 + dst % 3 * CAST(0.01 AS DOUBLE)", "dy", "src % 3 * CAST(0.001 AS DOUBLE)", "dst % 4 * CAST(0.001 AS DOUBLE)", "CAST(1 AS DOUBLE)"]
+COMPOSED = ", ".join(rs(" + ".join(f"b.m{3 * i + k} * a.m{3 * k + j}" for k in range(3))) + f" AS m{3 * i + j}" for i in range(3) for j in range(3))
+
+
+@query(f"""WITH {MOSAIC}, mm AS (SELECT src, dst, priority, {", ".join(f"{e} AS m{i}" for i, e in enumerate(TILT))} FROM (SELECT src, dst, min(priority) AS priority, min(dx) AS dx, min(dy) AS dy FROM me GROUP BY src, dst) u),
+wy AS (SELECT a.src, b.dst, a.dst AS mid, b.priority + 1 AS priority, {COMPOSED}, row_number() OVER (PARTITION BY a.src, b.dst ORDER BY b.priority, a.dst) AS k
+  FROM mm a JOIN mm b ON b.src = a.dst WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM mm c WHERE c.src = a.src AND c.dst = b.dst))
+SELECT * EXCLUDE (k) FROM wy WHERE k = 1""")
+def mosaic_compose(spark, sf_dir):
+    one = _placements(spark, sf_dir).groupBy("src", "dst").agg(*(F.min(c).alias(c) for c in ("priority", "dx", "dy")))
+    placed = one.select("src", "dst", "priority", F.expr(f"array({', '.join(TILT)})").alias("m"))
+    return mosaic.two_hop_matrices(placed).select("src", "dst", "mid", "priority", *(r(F.col("m")[i]).alias(f"m{i}") for i in range(9)))
+
+
 @query(f"""WITH n AS (SELECT count(*) AS n FROM ({view_sql("images")}) i)
 SELECT part, CAST(part * (n // 7) + least(part, n % 7) AS BIGINT) AS start, CAST((part + 1) * (n // 7) + least(part + 1, n % 7) AS BIGINT) AS stop FROM n, (SELECT CAST(range AS BIGINT) AS part FROM range(7)) k""")
 def range_partition(spark, sf_dir):

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.functions import geo, raster
+from aerolith.functions import geo, mat, raster
 from aerolith.sources import store
 
 
@@ -42,6 +42,17 @@ def two_hop(edges: DataFrame) -> DataFrame:
     return best.select("src", "dst", F.col("w.mid").alias("mid"), "w.dx", "w.dy", (F.col("w.priority") + 1).alias("priority"))
 
 
+def two_hop_matrices(edges: DataFrame) -> DataFrame:
+    """``two_hop`` for placements by a 3x3 matrix ``m`` (row-major array, from the pixels of ``src`` to those of ``dst``):
+    the matrices multiply."""
+    first, second = edges.select("src", F.col("dst").alias("mid"), F.col("m").alias("m1")), edges.select(F.col("src").alias("mid"), "dst", F.col("m").alias("m2"), "priority")
+    ways = first.join(second, "mid").where("src <> dst").join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    entries = lambda c: [[F.col(c)[3 * i + j] for j in range(3)] for i in range(3)]
+    product = F.array(*(mat.num(x) for row in mat.mul(entries("m2"), entries("m1")) for x in row))
+    best = ways.groupBy("src", "dst").agg(F.min(F.struct("priority", "mid", product.alias("m"))).alias("w"))
+    return best.select("src", "dst", F.col("w.mid").alias("mid"), "w.m", (F.col("w.priority") + 1).alias("priority"))
+
+
 class Memory:
     """Pixels of a mosaic's nodes in this process."""
 
