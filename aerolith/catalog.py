@@ -79,6 +79,26 @@ def image_scan_validate(spark, sf_dir):
     return ordered_ids(valid, "path", "scan_id").select("scan_id", "path", "ext")
 
 
+PHOTO = ["yaw", "pitch", "roll", "lat", "lon", "rel_alt", "abs_alt", "width", "height", "focal", "focal35"]
+
+
+@query(f"""SELECT CAST(row_number() OVER (ORDER BY path) - 1 AS BIGINT) AS image_id, regexp_extract(path, '([^/]*)$', 1) AS name, {", ".join(PHOTO)}
+FROM ({view_sql("images")}) i WHERE {VALID} AND abs_alt IS NOT NULL""")
+def photo_metadata(spark, sf_dir):
+    """A folder of files, written first, is listed, read and numbered: the image table from the files' own metadata."""
+    table = images.image_table(images.read_metadata(spark, fixtures.photos(spark, sf_dir)))
+    return table.select("image_id", geo.path_name(F.col("path")).alias("name"), *PHOTO)
+
+
+@query(f"""SELECT concat(CAST(image_id AS STRING), '.bmp') AS name, CAST(6 AS INTEGER) AS height, CAST(9 AS INTEGER) AS width, {", ".join(f"CAST(sum((image_id * 7 + x * 3 + y * 5 + {c * 11}) % 256) AS BIGINT) AS total_{n}" for c, n in enumerate(("blue", "green", "red")))}
+FROM ({view_sql("images")}) i, (SELECT range AS x FROM range(9)) a, (SELECT range AS y FROM range(6)) b WHERE image_id % 9 <> 4 GROUP BY image_id""")
+def photo_pixels(spark, sf_dir):
+    """Bitmaps, written first, are decoded; files that don't decode are left out."""
+    pixels = images.read_pixels(spark, fixtures.bitmaps(spark, sf_dir))
+    bytes_of = lambda c: F.aggregate(F.sequence(F.lit(c), F.length("data") - 1, F.lit(3)), F.lit(0).cast("long"), lambda acc, i: acc + F.conv(F.hex(F.expr("data").substr(i + 1, F.lit(1))), 16, 10).cast("long"))
+    return pixels.select(geo.path_name(F.col("origin")).alias("name"), "height", "width", *(bytes_of(c).alias(f"total_{n}") for c, n in enumerate(("blue", "green", "red"))))
+
+
 @query(f"""SELECT path, 'abs_alt' AS missing FROM ({view_sql("images")}) i WHERE abs_alt IS NULL""")
 def metadata_rejects(spark, sf_dir):
     return images.rejected(view(spark, sf_dir, "images")).select("path", F.array_join("missing", ",").alias("missing"))

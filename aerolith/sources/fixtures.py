@@ -3,9 +3,17 @@ stands for the i-th element from 1."""
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolith.runtime import scratch
+from aerolith.sources import store
+
 #: view -> (base table, {column: expression}, condition)
 VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
     "images": (
@@ -131,3 +139,64 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations_sql() -> str:
     return f"SELECT * FROM (SELECT track_id, image_id, cx, cy, cz, fx, fy, fx * (X - cx) / (cz - Z) AS u, fy * (Y - cy) / (cz - Z) AS v, X, Y, Z FROM ({view_sql('cameras')}) c, ({view_sql('scene_points')}) p) o WHERE abs(u) <= 1000 AND abs(v) <= 1000"
+
+
+#: Metadata keys (fixed values) of the columns that a photo's XMP packet holds.
+XMP = {"yaw": "GimbalYawDegree", "pitch": "GimbalPitchDegree", "roll": "GimbalRollDegree", "lat": "GpsLatitude", "lon": "GpsLongitude", "rel_alt": "RelativeAltitude", "abs_alt": "AbsoluteAltitude"}
+
+
+def exif(width: int, height: int, focal: tuple[int, int], focal35: int) -> bytes:
+    """An EXIF segment with the size in pixels, the focal length as a fraction and its 35 mm equivalent."""
+    entries = [(0x920A, 5, 200), (0xA002, 4, width), (0xA003, 4, height), (0xA405, 3, focal35)]
+    body = b"II*\0" + struct.pack("<IH", 8, 1) + struct.pack("<HHII", 0x8769, 4, 1, 26) + struct.pack("<I", 0)
+    body += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", tag, kind, 1, value) for tag, kind, value in entries) + struct.pack("<I", 0)
+    return b"Exif\0\0" + body.ljust(200, b"\0") + struct.pack("<II", *focal)
+
+
+def photo_head(row: dict) -> bytes:
+    """The head of a JPEG with a row's metadata; missing values are left out of the XMP packet."""
+    values = " ".join(f'd:{key}="{row[c]!r}"' for c, key in XMP.items() if row[c] is not None)
+    packet = f'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:d="http://d/" {values}/></rdf:RDF></x:xmpmeta>'
+    segments = [exif(int(row["width"]), int(row["height"]), (int(row["focal"] * 10), 10), int(row["focal35"])), b"http://ns.adobe.com/xap/1.0/\0" + packet.encode()]
+    return b"\xff\xd8" + b"".join(b"\xff\xe1" + struct.pack(">H", len(s) + 2) + s for s in segments) + b"\xff\xd9"
+
+
+def bitmap(img: np.ndarray) -> bytes:
+    """A 24-bit bitmap file of blue-green-red pixels."""
+    height, width = img.shape[:2]
+    rows = np.zeros((height, -(-3 * width // 4) * 4), np.uint8)
+    rows[:, : 3 * width] = img[::-1].reshape(height, -1)
+    head = struct.pack("<IHHI", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, rows.size, 0, 0, 0, 0)
+    return b"BM" + head + rows.tobytes()
+
+
+def _stored(rows: DataFrame, make: Callable[[dict], tuple[str, bytes]], name: str) -> str:
+    """Write a file for each row, from the tasks, to a folder in the shared one; the folder."""
+    folder = scratch(rows.sparkSession, name)
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                file, data = make({k: None if isinstance(v, float) and np.isnan(v) else v for k, v in row.items()})
+                store.write_bytes(data, f"{folder}/{file}")
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    rows.mapInPandas(put, "n long").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def photos(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file for each row of the images view: its metadata, without a picture."""
+    return _stored(view(spark, sf_dir, "images"), lambda row: (row["path"].rpartition("/")[2], photo_head(row)), "photos")
+
+
+def bitmaps(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a bitmap of nine by six pixels for each row of the images view; one in nine doesn't decode."""
+
+    def make(row: dict) -> tuple[str, bytes]:
+        i = row["image_id"]
+        y, x, c = np.mgrid[0:6, 0:9, 0:3]
+        img = ((i * 7 + x * 3 + y * 5 + c * 11) % 256).astype(np.uint8)
+        return f"{i}.bmp", bitmap(img) if i % 9 != 4 else b"BM nothing"
+
+    return _stored(view(spark, sf_dir, "images").select("image_id"), make, "bitmaps")

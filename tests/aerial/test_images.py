@@ -49,3 +49,8 @@ def test_progress_stays_in_range():
 def test_texts(spark):
     row = spark.createDataFrame([(1, 2, 120, 22.5, 114.0, 100.0)], "img_lhs long, img_rhs long, n_matches long, lat double, lon double, rel_alt double").select(report.pair_text().alias("p"), report.pose_text().alias("q")).first()
     assert row.p == "1 - 2: 120 matches" and row.q == "lat 22.500000, lon 114.000000, altitude 100.00"
+
+
+def test_texts_of_poses_and_cameras(spark):
+    df = spark.createDataFrame([(1.5, -90.0, 0.25, 3000.0, 2999.5, 2000.0, 1500.0)], "yaw double, pitch double, roll double, fx double, fy double, cx double, cy double")
+    assert tuple(df.select(report.angle_text(), report.intrinsic_text()).first()) == ("yaw 1.50, pitch -90.00, roll 0.25", "fx 3000.00, fy 2999.50, cx 2000.00, cy 1500.00")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aerolith.functions import raster
 from aerolith.operators import adjust, features, matching
 from aerolith.plans import survey
-from aerolith.sources import images, models, store
+from aerolith.sources import fixtures, images, models, store
 from aerolith.streaming import ingest
 from tests.aerial import onnx_file
 
@@ -16,10 +16,7 @@ VALUES = {"GimbalYawDegree": "+12.50", "GimbalPitchDegree": "-90.0", "GimbalRoll
 
 
 def exif(width=4000, height=3000):
-    tags = struct.pack("<HHII", 0x920A, 5, 1, 200) + struct.pack("<HHII", 0xA002, 4, 1, width) + struct.pack("<HHII", 0xA003, 4, 1, height) + struct.pack("<HHIHH", 0xA405, 3, 1, 24, 0)
-    body = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 1) + struct.pack("<HHII", 0x8769, 4, 1, 26) + struct.pack("<I", 0)
-    body += struct.pack("<H", 4) + tags + struct.pack("<I", 0)
-    return b"Exif\0\0" + body.ljust(200, b"\0") + struct.pack("<II", 45, 10)
+    return fixtures.exif(width, height, (45, 10), 24)
 
 
 def jpeg(values=VALUES, with_exif=True):
@@ -132,8 +129,7 @@ def test_stream_of_new_files(spark, folder, tmp_path_factory):
 def test_pixels_of_a_bitmap(spark, tmp_path):
     rng = np.random.default_rng(0)
     img = rng.integers(0, 256, (6, 8, 3)).astype(np.uint8)
-    body = img[::-1].tobytes()
-    (tmp_path / "a.bmp").write_bytes(b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 8, 6, 1, 24, 0, len(body), 0, 0, 0, 0) + body)
+    (tmp_path / "a.bmp").write_bytes(fixtures.bitmap(img))
     (tmp_path / "bad.bmp").write_bytes(b"BM nothing")
     (r,) = images.read_pixels(spark, str(tmp_path)).collect()
     assert (r.height, r.width, r.nChannels) == (6, 8, 3)
