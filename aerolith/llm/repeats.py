@@ -260,10 +260,11 @@ class Beside:
 
     def get(self, row: int) -> list[tuple]:
         """The records of a row, without the row."""
-        if self.before is None or row < self.before or not len(self.rows) or self.rows[-1] + (1 << 20) < row:
+        far = len(self.rows) and self.rows[-1] + (1 << 20) < row
+        if self.before is None or row < self.before or far:
             self.batches = self._batches(row)
             self._next()
-        self.before, found = row, []
+        self.before, found = row, []  # without rows the end has been reached
         while len(self.rows):
             low, high = np.searchsorted(self.rows, row), np.searchsorted(self.rows, row, side="right")
             if low < high:

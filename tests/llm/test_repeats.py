@@ -131,3 +131,6 @@ def test_side_rows_in_any_order(spark):
         for row in order:
             assert sorted(beside.get(row)) == sorted(want.get(row, []))
     assert repeats.Beside([]).get(5) == []
+    opened = []
+    beside._batches = lambda row: (opened.append(row), iter(()))[1]
+    assert all(beside.get((1 << 40) + i) == [] for i in range(100)) and len(opened) <= 1
