@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.operators.graph import components
-from aerolith.runtime import scratch, shared_dir, written
+from aerolith.runtime import packed, scratch, shared_dir, written
 
-__all__ = ["components", "gapless", "numbered", "scratch", "shared_dir", "written"]
+__all__ = ["components", "gapless", "numbered", "packed", "scratch", "shared_dir", "written"]
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import gapless, numbered
+from aerolith.llm.common import gapless, numbered, packed
 
 SEQUENCE = 2048
 END_ID = 1
@@ -239,4 +239,4 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) ->
     pieces = numbered(tokenize(docs, path, sequence), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     plan = places(shortest_pack_first(histogram, sequence))
-    return gapless(pieces, "length", "rank").mapInArrow(_placed(plan), f"{PIECES}, sequence_id long, offset long")
+    return packed(gapless(pieces, "length", "rank").mapInArrow(_placed(plan), f"{PIECES}, sequence_id long, offset long"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import components, written
+from aerolith.llm.common import components, packed, written
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -449,15 +449,16 @@ def resembling(sketches: DataFrame, texts: DataFrame, tile: int = TILE, tile_byt
     """``(node, root)`` of the rows that are alike. ``sketches`` has ``id, n, lo, hi, bands`` with a row for each
     different text, ``texts`` has ``id, text`` as bytes; both are written tables."""
     rows = sketches.select("id", F.explode("bands").alias("bucket"))
-    mates = written(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", _tiles(F.col("m") / tile)), "bands")
+    mates = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", _tiles(F.col("m") / tile))
+    mates = written(packed(mates), "bands")
     # Fingerprints join the rows only once those without a mate are gone.
     mates = _dealt(rows, mates).join(sketches.select("id", "n", "lo", "hi"), "id")
     close = _met(mates, "n", "lo", "hi").mapInArrow(_forests(WIDE, ["lo", "hi"], "n"), "a long, b long")
-    family = written(components(close, "families").select(F.col("node").alias("id"), F.col("root").alias("bucket")), "families")
+    family = written(packed(components(close, "families").select(F.col("node").alias("id"), F.col("root").alias("bucket"))), "families")
     member = texts.join(family, "id").select("id", "bucket", "text").mapInArrow(_sets, "id long, bucket long, lo long, hi long, set binary")
-    member = written(member, "sets")
+    member = written(packed(member), "sets")
     share = F.greatest(F.sum(F.octet_length("set")) / tile_bytes, F.count("*") / tile)
-    sizes = written(member.groupBy("bucket").agg(_tiles(share)), "families")
+    sizes = written(packed(member.groupBy("bucket").agg(_tiles(share))), "families")
     links = _met(_dealt(member, sizes), "lo", "hi", "set").mapInArrow(_verified, "a long, b long")
     return components(links, "resemblance")
 
@@ -471,7 +472,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     sketches = written(rows.select("row", "text", "doc_id").mapInArrow(_sketched, f"{SKETCH}, doc_id {kind}"), "sketches")
     mine = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     same = sketches.groupBy("key").agg(F.min("row").alias("id"), mine.alias("best"), F.min_by(F.struct("n", "lo", "hi", "bands"), "row").alias("s"))
-    named = written(same.select("id", "best", "s.*"), "texts")
+    named = written(packed(same.select("id", "best", "s.*")), "texts")
     root = resembling(named, rows.select(F.col("row").alias("id"), "text")).withColumnRenamed("node", "id")
     best = named.select("id", "best").join(root, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("best").alias("best"))
-    return rows.join(best.select(F.col("best.row").alias("row")), "row", "left_semi").select("doc.*")
+    return packed(rows.join(best.select(F.col("best.row").alias("row")), "row", "left_semi").select("doc.*"))

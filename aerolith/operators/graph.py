@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.runtime import written
+from aerolith.runtime import packed, written
 
 #: Edges that a task contracts at a time.
 CHUNK_EDGES = 1 << 20
@@ -59,16 +59,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     pair, local = ["u", "v"], "u long, v long"
     ends = [f("a", "b").cast("long").alias(c) for f, c in ((F.greatest, "u"), (F.least, "v"))]
-    cur = written(edges.select(*ends).where("u <> v").mapInArrow(_stars, local), name)
+    cur = written(packed(edges.select(*ends).where("u <> v").mapInArrow(_stars, local)), name)
     while not _settled(cur):
         both = cur.select(*pair).union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written first, so that the join is of two plain shuffles and a hub's rows can be split.
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        low = written(packed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))), name)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = written(large.mapInArrow(_stars, local).distinct(), name)
+        large = written(packed(large.mapInArrow(_stars, local).distinct()), name)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        cur = written(small, name)
+        cur = written(packed(small), name)
     roots = cur.select(F.col("v").alias("node")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
 

@@ -57,6 +57,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``df``, what comes out of a shuffle, for writing: where Spark does not merge small partitions itself, its rows are
+    dealt out to as many tasks as there are cores. The partitions are computed as they are, but no longer make a file
+    each; on a local file system without Hadoop's native library each file costs an executor two processes, which for a
+    moment double the memory it seems to hold."""
+    spark = df.sparkSession
+    merges = all(spark.conf.get(f"spark.sql.adaptive.{k}").lower() == "true" for k in ("enabled", "coalescePartitions.enabled"))
+    cores = spark.sparkContext.defaultParallelism
+    return df if merges or int(spark.conf.get("spark.sql.shuffle.partitions")) <= cores else df.repartition(cores)
+
+
 def ordered_ids(df: DataFrame, order: str, out: str) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... in the order of the unique column ``order``. The table is sorted by range over
     all tasks and written once with its partition number; a partition then counts on from those before it."""

@@ -1,10 +1,12 @@
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import xxhash
 
-from aerolith.llm import queries, simhash
+from aerolith import runtime
+from aerolith.llm import packing, queries, simhash
 from tests.conftest import SF
 
 
@@ -171,3 +173,24 @@ def test_columns_of_any_name_are_kept(spark):
 def test_empty(make_docs):
     assert simhash.near_duplicates(make_docs([])).count() == 0
     assert simhash.keep_one(make_docs([])).count() == 0
+
+
+def test_files_do_not_grow_with_the_shuffle_partitions(spark, make_docs, monkeypatch):
+    """Where Spark merges no small partitions, tables after a shuffle still make a file for each core at most."""
+    rows, made = edited(seed=8, families=6, copies=5), []
+    docs = make_docs(rows)
+    want = kept(docs)
+    scratch, cores = runtime.scratch, spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(runtime, "scratch", lambda *a: made.append(scratch(*a)) or made[-1])
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert kept(docs) == want
+        assert simhash.keep_one(docs).rdd.getNumPartitions() <= cores
+        assert packing.pack(docs).rdd.getNumPartitions() <= cores
+    finally:
+        spark.conf.unset(merging)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    files = [len(list(Path(folder.removeprefix("file://")).glob("part-*"))) for folder in made]
+    assert len(files) > 10 and max(files) <= cores
