@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 
 from aerolith.operators import weakest as w
@@ -85,3 +86,32 @@ def test_weakest_between(spark):
     pairs = [(1, 4), (1, 3), (1, 20), (20, 21), (5, 6), (1, 1)]
     got = w.weakest_between(spark.createDataFrame(edges, "a long, b long, score double"), spark.createDataFrame(pairs, "s long, t long"))
     assert sorted(map(tuple, got.collect())) == [(1, 3, 2, 3, 0.4), (1, 4, 3, 4, 0.2), (20, 21, 20, 21, 0.7)]
+
+
+def frame(edges, image):
+    return pd.DataFrame([(0, a, b, s, image(a), image(b)) for a, b, s in edges], columns=["root", "a", "b", "score", "ia", "ib"])
+
+
+def test_bridges_ask_for_no_new_search(monkeypatch):
+    """A chain in which every two of 200 points of an image are parted: one search of the blocks, whatever is cut."""
+    rng = random.Random(2)
+    edges = [(n, n + 1, rng.random()) for n in range(1999)]
+    searched = []
+    search = w.Blocks.search
+    monkeypatch.setattr(w.Blocks, "search", lambda self, *part: (searched.append(part), search(self, *part))[1])
+    kept = w.kept_edges(frame(edges, lambda n: n % 10))
+    assert searched == [(0, 2000)]
+    assert all(len({n % 10 for n in p}) == len(p) for p in parts(list(zip(kept.a, kept.b, strict=True)), range(2000)))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_climbing_blocks_equals_the_search_of_paths(seed):
+    rng = random.Random(1000 + seed)
+    edges = graph(rng, 12, 14)
+    nodes = sorted({n for e in edges for n in e[:2]})
+    pairs = [(s, t) for s in nodes for t in nodes if s < t]
+    root = {n: min(p) for p in parts(edges, nodes) for n in p}
+    table = pd.DataFrame([(root[a], a, b, s) for a, b, s in edges], columns=["root", "a", "b", "score"])
+    joined = [(s, t) for s, t in pairs if root[s] == root[t]]
+    got = w.weakest_of(table, pd.DataFrame(joined, columns=["s", "t"]))
+    assert [tuple(x) for x in got.itertuples(index=False)] == [(s, t, *w.weakest(w.path_edges(edges, s, t))) for s, t in joined]
