@@ -531,13 +531,12 @@ def triangulate_outliers(spark, sf_dir):
     found = written(triangulate.robust(start, seen), "refined")
     step, shifts = 1e-4, [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
-    def loss(points: DataFrame, name: str) -> DataFrame:
-        return triangulate.cost(triangulate.residuals(points, seen)).withColumnRenamed("cost", name)
-
-    out = found.select("track_id", "n_views", "iterations", F.col("cost").alias("own"))
-    out = out.join(loss(start, "at_start"), "track_id")
-    for k, shift in enumerate(shifts):
-        out = out.join(loss(found.select("track_id", "usable", *((F.col(c) + step * d).alias(c) for c, d in zip("XYZ", shift, strict=True))), f"c{k}"), "track_id")
+    # All losses from one join: each is a sum over the residuals of the point moved to its place.
+    places = start.select("track_id", *(F.col(c).alias(f"{c}0") for c in "XYZ"))
+    both = seen.drop("X", "Y", "Z").join(found.where("usable").join(places, "track_id"), "track_id")
+    loss = lambda at: F.sum(geo.huber(triangulate.squared_at(at))) / 2
+    losses = {f"c{k}": loss([F.col(c) + step * d for c, d in zip("XYZ", shift, strict=True)]) for k, shift in enumerate(shifts)}
+    out = both.groupBy("track_id").agg(F.first("n_views").alias("n_views"), F.first("iterations").alias("iterations"), F.first("cost").alias("own"), loss([F.col(f"{c}0") for c in "XYZ"]).alias("at_start"), *(v.alias(k) for k, v in losses.items()))
     slope = lambda k: r((F.col(f"c{k}") - F.col(f"c{k + 1}")) / (2 * step) / F.col("c0"), 2)
     lower = (F.abs(F.col("own") - F.col("c0")) < 1e-6 * F.col("c0")) & (F.col("c0") <= F.col("at_start"))
     return out.select("track_id", "n_views", slope(1).alias("slope_x"), slope(3).alias("slope_y"), slope(5).alias("slope_z"), lower.alias("lower"), (F.col("iterations") > 0).alias("moved"))

@@ -15,6 +15,8 @@ from aerolith.functions import geo, mat
 FLAT = 1e-9
 #: Tracks that one task refines at a time.
 TASK_TRACKS = 4096
+#: World to camera, looking straight down.
+DOWN = mat.matrix([[1, 0, 0], [0, 1, 0], [0, 0, -1]])
 
 
 def linear(rays: DataFrame) -> DataFrame:
@@ -56,12 +58,19 @@ def shared_depth(rays: DataFrame) -> DataFrame:
 def residuals(points: DataFrame, seen: DataFrame, rotation: mat.Matrix | None = None) -> DataFrame:
     """``du, dv`` of every observation of a usable point. ``seen`` has ``track_id, cx, cy, cz, fx, fy, u, v``;
     ``rotation`` is world to camera, by default looking straight down."""
-    r = rotation or mat.matrix([[1, 0, 0], [0, 1, 0], [0, 0, -1]])
+    r = rotation or DOWN
     joined = seen.drop("X", "Y", "Z").join(points.where("usable"), "track_id")
     du, dv = geo.residual(r, [F.col(x) for x in ("cx", "cy", "cz")], (F.col("fx"), F.col("fy"), F.lit(0.0), F.lit(0.0)), [F.col(x) for x in "XYZ"], F.col("u"), F.col("v"))
     return joined.withColumn("du", du).withColumn("dv", dv)
 
 
+def squared_at(point: list[Column], rotation: mat.Matrix | None = None) -> Column:
+    """The squared residual of an observation (``residuals``' columns) of a point at ``point``."""
+    r = rotation or DOWN
+    du, dv = geo.residual(r, [F.col(x) for x in ("cx", "cy", "cz")], (F.col("fx"), F.col("fy"), F.lit(0.0), F.lit(0.0)), point, F.col("u"), F.col("v"))
+    return du * du + dv * dv
+
+
 def squared(res: DataFrame) -> Column:
     return F.col("du") * F.col("du") + F.col("dv") * F.col("dv")
 
@@ -76,8 +85,11 @@ def cost(res: DataFrame) -> DataFrame:
 
 def refine_points(start: np.ndarray, track: np.ndarray, centre: np.ndarray, focal: np.ndarray, uv: np.ndarray, iterations: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Levenberg-Marquardt with Huber weights on many points at once. ``track`` numbers the rows' points; cameras
-    look straight down. Returns points, costs and accepted steps."""
+    look straight down. Returns points, costs and accepted steps. Points that are done leave the arrays, so that a slow
+    one doesn't hold up the others."""
     x, n = start.copy(), len(start)
+    order = np.argsort(track, kind="stable")
+    track, centre, focal, uv = track[order], centre[order], focal[order], uv[order]
 
     def evaluate(points):
         d = points[track] - centre
@@ -85,35 +97,49 @@ def refine_points(start: np.ndarray, track: np.ndarray, centre: np.ndarray, foca
             r = focal * d[:, :2] / -d[:, 2:] - uv
         s = (r * r).sum(axis=1)
         rho = np.where(s <= 1, s, 2 * np.sqrt(s) - 1)
-        return d, r, s, np.bincount(track, np.nan_to_num(rho, nan=1e30, posinf=1e30), n) / 2
+        return d, r, s, np.bincount(track, np.nan_to_num(rho, nan=1e30, posinf=1e30), len(points)) / 2
+
+    def summed(rows):
+        return np.bincount(track, rows, len(at))
 
+    result, costs, steps = x.copy(), np.zeros(n), np.zeros(n, int)
+    at, damp = np.arange(n), np.full(n, 1e-4)
     d, r, s, value = evaluate(x)
-    damp, steps, active = np.full(n, 1e-4), np.zeros(n, int), np.ones(n, bool)
+    costs[:] = value
     for _ in range(iterations):
         z = -d[:, 2]
-        jac = np.zeros((len(d), 2, 3))
-        jac[:, 0, 0], jac[:, 1, 1] = focal[:, 0] / z, focal[:, 1] / z
-        jac[:, 0, 2], jac[:, 1, 2] = focal[:, 0] * d[:, 0] / z**2, focal[:, 1] * d[:, 1] / z**2
         w = np.where(s <= 1, 1.0, 1 / np.sqrt(np.maximum(s, 1e-300)))
-        h, g = np.zeros((n, 3, 3)), np.zeros((n, 3))
-        np.add.at(h, track, np.einsum("k,kia,kib->kab", w, jac, jac))
-        np.add.at(g, track, np.einsum("k,kia,ki->ka", w, jac, r))
+        px, py = focal[:, 0] / z, focal[:, 1] / z
+        qx, qy = px * d[:, 0] / z, py * d[:, 1] / z
+        h, g = np.empty((len(at), 3, 3)), np.empty((len(at), 3))
+        h[:, 0, 0], h[:, 1, 1], h[:, 2, 2] = summed(w * px * px), summed(w * py * py), summed(w * (qx * qx + qy * qy))
+        h[:, 0, 1] = h[:, 1, 0] = 0.0
+        h[:, 0, 2] = h[:, 2, 0] = summed(w * px * qx)
+        h[:, 1, 2] = h[:, 2, 1] = summed(w * py * qy)
+        g[:, 0], g[:, 1], g[:, 2] = summed(w * px * r[:, 0]), summed(w * py * r[:, 1]), summed(w * (qx * r[:, 0] + qy * r[:, 1]))
         diag = np.einsum("nii->ni", h)
-        lhs = h + np.einsum("ni,ij->nij", damp[:, None] * np.maximum(diag, 1e-12), np.eye(3))
+        lhs = h + (damp[:, None] * np.maximum(diag, 1e-12))[:, :, None] * np.eye(3)
         step = -np.linalg.solve(lhs + 1e-15 * np.eye(3), g[:, :, None])[:, :, 0]
-        trial = np.where(active[:, None], x + step, x)
+        trial = x + step
         d1, r1, s1, value1 = evaluate(trial)
-        better = active & (value1 < value)
+        better = value1 < value
         small = np.abs(step).max(axis=1) < 1e-10 * (1 + np.abs(x).max(axis=1))
         gain = np.abs(value - value1) <= 1e-12 * (value + 1e-30)
         x = np.where(better[:, None], trial, x)
-        steps += better
+        taken = better[track]
+        d, r, s = (np.where(taken if a.ndim == 1 else taken[:, None], a, b) for a, b in ((d1, d), (r1, r), (s1, s)))
+        value = np.where(better, value1, value)
         damp = np.where(better, damp / 5, damp * 10)
-        active &= ~(small | (better & gain) | (damp > 1e12))
-        d, r, s, value = evaluate(x)
+        steps[at] += better
+        result[at], costs[at] = x, value
+        active = ~(small | (better & gain) | (damp > 1e12))
         if not active.any():
             break
-    return x, value, steps
+        if not active.all():
+            rows, number = active[track], np.cumsum(active) - 1
+            track, centre, focal, uv, d, r, s = number[track[rows]], centre[rows], focal[rows], uv[rows], d[rows], r[rows], s[rows]
+            at, x, value, damp = at[active], x[active], value[active], damp[active]
+    return result, costs, steps
 
 
 def robust(points: DataFrame, seen: DataFrame, iterations: int = DEFAULT.solver_iterations) -> DataFrame:

@@ -279,3 +279,20 @@ def test_features(spark):
     assert all(min(abs(x - a) + abs(y - b) for a, b in corners) <= 2 for x, y in points)
     table = spark.createDataFrame(pd.DataFrame({"image_id": [7], "height": [60], "width": [60], "nChannels": [3], "data": [img.tobytes()]}))
     assert features.extract(table).where(F.col("image_id") == 7).count() == len(points)
+
+
+def test_refined_points_leave_the_arrays(monkeypatch):
+    """One point that needs many steps doesn't make the others, which are done, be solved for again."""
+    n, views = 200, 6
+    rng = np.random.default_rng(3)
+    places, track = rng.uniform(0, 50, (n, 3)) * [1, 1, 0.1], np.repeat(np.arange(n), views)
+    centre = np.column_stack([places[track][:, :2] + rng.uniform(-30, 30, (n * views, 2)), np.full(n * views, 120.0)])
+    d, focal = places[track] - centre, np.full((n * views, 2), 3000.0)
+    uv = focal * d[:, :2] / -d[:, 2:] + rng.uniform(-1.5, 1.5, (n * views, 2))
+    uv[::11] += 40
+    solved, solve = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: (solved.append(len(a)), solve(a, b))[1])
+    found, cost, steps = triangulate.refine_points(places + 0.05, track, centre, focal, uv, 1000)
+    assert solved[0] == n and solved[-1] < n / 2 and (steps > 0).all()
+    alone = triangulate.refine_points(places[:1] + 0.05, track[:views], centre[:views], focal[:views], uv[:views], 1000)
+    assert np.allclose(found[0], alone[0][0]) and np.isclose(cost[0], alone[1][0])
