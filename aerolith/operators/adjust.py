@@ -37,6 +37,8 @@ LEAST_FOCAL, LEAST_DEPTH = 1e-6, 1e-6
 EXACT = 1e-9
 #: Pairs of views that are multiplied at a time, and blocks that a task sums before it passes them on.
 PAIRS, HELD_BLOCKS = 20_000, 20_000
+#: Views that are linearised at a time; a track with more is taken alone.
+VIEWS = 20_000
 
 
 def matrices(q: np.ndarray) -> np.ndarray:
@@ -82,6 +84,18 @@ def _weights(res: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(s <= 1, 1.0, 1 / np.sqrt(np.maximum(s, 1e-300))), np.where(s <= 1, s, 2 * np.sqrt(s) - 1) / 2
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tracks of ``batches`` in pieces of up to ``VIEWS`` views, or of one track."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("views").value_lengths().fill_null(0).to_numpy())
+        lo = 0
+        while lo < batch.num_rows:
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + VIEWS, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 class Views:
     """The views in a batch of tracks, linearised: rows of ``track`` and ``camera`` numbers with their blocks."""
 
@@ -136,7 +150,7 @@ def _assembled(ids: np.ndarray, cameras: np.ndarray, damping: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
+        for batch in _slices(batches):
             v = Views(batch, ids, cameras, damping)
             y = v.e @ v.inverse[v.track]
             size = PARAMETERS * PARAMETERS
@@ -233,7 +247,7 @@ def _moved(ids: np.ndarray, cameras: np.ndarray, trial: np.ndarray, step: np.nda
     """Tracks with the points that follow from the cameras' step, and the loss with both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             v = Views(batch, ids, cameras, damping)
             pull = v.h.copy()
             np.add.at(pull, v.track, np.einsum("kab,ka->kb", v.e, step[v.camera]))

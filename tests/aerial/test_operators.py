@@ -296,3 +296,26 @@ def test_refined_points_leave_the_arrays(monkeypatch):
     assert solved[0] == n and solved[-1] < n / 2 and (steps > 0).all()
     alone = triangulate.refine_points(places[:1] + 0.05, track[:views], centre[:views], focal[:views], uv[:views], 1000)
     assert np.allclose(found[0], alone[0][0]) and np.isclose(cost[0], alone[1][0])
+
+
+def test_adjustment_linearises_few_views_at_a_time(monkeypatch):
+    """A batch of many tracks is taken in pieces whose sums are those of the whole; a track with more views is alone."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    tracks_, cams = 60, 7
+    cameras = np.column_stack([np.tile([0.0, 1, 0, 0], (cams, 1)), rng.uniform(0, 50, (cams, 2)), np.full(cams, 120.0), np.full((cams, 2), 3000.0), np.zeros((cams, 2))])
+    views = [[{"image_id": i, "u": float(u), "v": float(v)} for i, (u, v) in enumerate(rng.normal(size=(1 + k % cams, 2)))] for k in range(tracks_)]
+    columns = [pa.array(range(tracks_)), *(pa.array(c) for c in rng.uniform(0, 50, (3, tracks_)))]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.array(views, pa.list_(pa.struct([("image_id", pa.int64()), ("u", pa.float64()), ("v", pa.float64())])))], names=["track_id", *"XYZ", "views"])
+    run, seen = adjust._assembled(np.arange(cams), cameras, 1e-4), []
+    linearised = adjust.jacobians
+    monkeypatch.setattr(adjust, "jacobians", lambda cam, *rest: (seen.append(len(cam)), linearised(cam, *rest))[1])
+    sums = {}
+    for limit in (10**6, 5):
+        monkeypatch.setattr(adjust, "VIEWS", limit)
+        seen.clear()
+        blocks = [b for out in run(iter([batch.slice(0, 30), batch.slice(30)])) for b in out.to_pylist()]
+        sums[limit] = {(b["i"], b["j"]): np.array(b["s"]) for b in blocks}
+    assert max(seen) == cams and sum(seen) == sum(map(len, views)) and all(n <= 5 or n in (6, 7) for n in seen)
+    assert sums[5].keys() == sums[10**6].keys() and all(np.allclose(sums[5][k], sums[10**6][k]) for k in sums[5])
