@@ -319,3 +319,16 @@ def test_adjustment_linearises_few_views_at_a_time(monkeypatch):
         sums[limit] = {(b["i"], b["j"]): np.array(b["s"]) for b in blocks}
     assert max(seen) == cams and sum(seen) == sum(map(len, views)) and all(n <= 5 or n in (6, 7) for n in seen)
     assert sums[5].keys() == sums[10**6].keys() and all(np.allclose(sums[5][k], sums[10**6][k]) for k in sums[5])
+
+
+def test_points_of_one_place_are_asked_for_once(spark, monkeypatch):
+    """Many points in few places: what is kept on the way grows with the places, not the points."""
+    kept, write = [], neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df, name: (t := write(df, name), kept.append((name, t.count())))[0])
+    rows = [(i, float(i % 5), float(i % 3)) for i in range(600)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "id long, x double, y double"), 4).collect()
+    assert max(n for name, n in kept if name == "nearest") <= 15
+    near = lambda i: sorted((round(((rows[j][1] - rows[i][1]) ** 2 + (rows[j][2] - rows[i][2]) ** 2) ** 0.5, 6), j) for j in range(600) if j != i)[:4]
+    for i in (0, 7, 599):
+        assert sorted((r.rank, r.distance, r.neighbour_id) for r in got if r.id == i) == [(k + 1, *q) for k, q in enumerate(near(i))]
+    assert len(got) == 2400
