@@ -586,6 +586,11 @@ def _box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side("a").withColumn("b_box_id", F.explode(F.sequence(F.col("a_box_id") + 1, F.col("a_box_id") + 3))).join(side("b"), "b_box_id")
 
 
+def _spread(pairs: DataFrame) -> DataFrame:
+    """Pairs dealt over all cores before they are clipped: their tables are so small that a single task would read them."""
+    return pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism)
+
+
 def _rectangle(k: str) -> Column:
     x, y, w, h = (F.col(f"{k}_{c}") for c in ("x0", "y0", "w", "h"))
     return F.array(*(F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))))
@@ -601,7 +606,7 @@ def bbox_iou(spark, sf_dir):
 def polygon_iou(spark, sf_dir):
     a, b = _rectangle("a"), _rectangle("b")
     pairs = _box_pairs(spark, sf_dir).select(F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id"), a.alias("a"), b.alias("b"))
-    both = pairs.withColumn("c", polygon.intersection("a", "b")).withColumn("iou", polygon.convex_iou("a", "b"))
+    both = _spread(pairs).withColumn("c", polygon.intersection("a", "b")).withColumn("iou", polygon.convex_iou("a", "b"))
     return both.select("a_id", "b_id", r(F.when(F.size("c") > 2, polygon.area(F.col("c"))).otherwise(0.0)).alias("common"), r("iou").alias("iou"))
 
 
@@ -629,7 +634,7 @@ def polygon_iou_turned(spark, sf_dir):
         return F.array(*(corner(i, j) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))))
 
     pairs = _box_pairs(spark, sf_dir).select(F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id"), turned("a").alias("a"), turned("b").alias("b"))
-    both = pairs.withColumn("c", polygon.intersection("a", "b")).withColumn("iou", polygon.convex_iou("a", "b"))
+    both = _spread(pairs).withColumn("c", polygon.intersection("a", "b")).withColumn("iou", polygon.convex_iou("a", "b"))
     return both.select("a_id", "b_id", r(F.when(F.size("c") > 2, polygon.area(F.col("c"))).otherwise(0.0), 4).alias("common"), r("iou", 4).alias("iou"))
 
 

@@ -332,3 +332,9 @@ def test_points_of_one_place_are_asked_for_once(spark, monkeypatch):
     for i in (0, 7, 599):
         assert sorted((r.rank, r.distance, r.neighbour_id) for r in got if r.id == i) == [(k + 1, *q) for k, q in enumerate(near(i))]
     assert len(got) == 2400
+
+
+@pytest.mark.parametrize("name", ["polygon_iou", "polygon_iou_turned"])
+def test_polygons_are_clipped_on_all_cores(spark, name):
+    rows = catalog.QUERIES[name](spark, SF)
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == spark.sparkContext.defaultParallelism
